@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lectern.llm import p2_sitelines as p2
 from lectern.llm import p3_lookalike as p3
 
 
 def queries() -> dict:
-    return {"p3_found": p3.p3_found, "p3_units": p3.p3_units, "p3_chapters": p3.p3_chapters}
+    return {
+        "p2_found": p2.p2_found, "p2_chapters": p2.p2_chapters,
+        "p3_found": p3.p3_found, "p3_units": p3.p3_units, "p3_chapters": p3.p3_chapters,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p2_found": p2.P2_SQL}
