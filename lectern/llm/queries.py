@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.llm import p1_markup as p1
 from lectern.llm import p2_sitelines as p2
 from lectern.llm import p3_lookalike as p3
+from lectern.llm import p4_bitext as p4
 
 
 def queries() -> dict:
@@ -12,6 +13,7 @@ def queries() -> dict:
         "p1_found": p1.p1_found, "p1_pages": p1.p1_pages, "p1_titles": p1.p1_titles,
         "p2_found": p2.p2_found, "p2_chapters": p2.p2_chapters,
         "p3_found": p3.p3_found, "p3_units": p3.p3_units, "p3_chapters": p3.p3_chapters,
+        "p4_found": p4.p4_found, "p4_report": p4.p4_report,
     }
 
 
