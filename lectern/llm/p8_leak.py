@@ -55,31 +55,45 @@ def words_of(texts: list[str]) -> list[list[str]]:
     return out
 
 
-_hashes: dict[str, int] = {}
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
     if len(_hashes) > 2_000_000:
         _hashes.clear()
-    out = np.empty(len(words), dtype=np.uint64)
-    for k, w in enumerate(words):
-        h = _hashes.get(w)
-        if h is None:
-            h = _hashes[w] = xxhash.xxh64_intdigest(w)
-        out[k] = h
-    return out
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def fingerprints(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """SimHash of every window of each size: one bit a sum over the window's word pairs."""
+    """SimHash of every window of each size: one bit for a majority of the window's word pairs.
+
+    Window sums come from sums over runs of 1, 2, 4 ... pairs, in bytes.
+    """
     n = len(hashes)
     with np.errstate(over="ignore"):
         pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
         pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((n, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-    return {w: np.packbits((sums[w - 1 :] - sums[: n - w + 1]) * 2 > w - 1, axis=1).view(np.uint64).ravel() if n >= w else np.empty(0, np.uint64) for w in sizes}
+    runs = [np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)]
+    out = {}
+    for w in sizes:
+        if n < w:
+            out[w] = np.empty(0, np.uint64)
+            continue
+        total, at = np.zeros((n - w + 1, 64), dtype=np.uint8), 0
+        for b in range((w - 1).bit_length()):
+            while len(runs) <= b:
+                runs.append(runs[-1][: -(1 << (len(runs) - 1))] + runs[-1][1 << (len(runs) - 1) :])
+            if (w - 1) >> b & 1:
+                total += runs[b][at : at + n - w + 1]
+                at += 1 << b
+        out[w] = np.packbits(total > (w - 1) // 2, axis=1).view(np.uint64).ravel()
+    return out
 
 
 class HammingIndex:
