@@ -6,6 +6,7 @@ from lectern.llm import p1_markup as p1
 from lectern.llm import p2_sitelines as p2
 from lectern.llm import p3_lookalike as p3
 from lectern.llm import p4_bitext as p4
+from lectern.llm import p5_scan as p5
 from lectern.llm import p8_leak as p8
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "p2_found": p2.p2_found, "p2_chapters": p2.p2_chapters,
         "p3_found": p3.p3_found, "p3_units": p3.p3_units, "p3_chapters": p3.p3_chapters,
         "p4_found": p4.p4_found, "p4_report": p4.p4_report,
+        "p5_found": p5.p5_found,
         "p8_found": p8.p8_found, "p8_items": p8.p8_items,
     }
 
