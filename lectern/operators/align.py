@@ -153,8 +153,13 @@ def alignment_strategy(embeds: Column, pivot: Column, left_numbered: Column, rig
 # --- grouped --------------------------------------------------------------------------------
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns as new ones, so that two sides of one lineage can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _both(left: DataFrame, right: DataFrame, keep: list[str]) -> tuple:
-    return left.select("group", "pos", *keep).groupBy("group"), right.select("group", "pos", *keep).groupBy("group")
+    return _fresh(left.select("group", "pos", *keep)).groupBy("group"), _fresh(right.select("group", "pos", *keep)).groupBy("group")
 
 
 def align_scores(scores: DataFrame, sizes: DataFrame, floor: float | None = None) -> DataFrame:
@@ -177,7 +182,7 @@ def align_scores(scores: DataFrame, sizes: DataFrame, floor: float | None = None
         return pd.DataFrame({"group": group, "r": np.arange(n), "l": pd.array([None if w else int(t) for w, t in zip(weak, took)], dtype="Int64")})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, r bigint, l bigint"
-    return scores.groupBy("group").cogroup(sizes.groupBy("group")).applyInPandas(run, schema)
+    return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
 
 
 def longest_run(pairs: DataFrame, group: str = "book") -> DataFrame:
@@ -204,7 +209,7 @@ def content_pairs(scores: DataFrame, sizes: DataFrame) -> DataFrame:
         return pd.DataFrame({"group": size["group"].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, l bigint, r bigint"
-    return scores.groupBy("group").cogroup(sizes.groupBy("group")).applyInPandas(run, schema)
+    return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
 
 
 def nearest_in_order(scores: DataFrame, sizes: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -221,7 +226,7 @@ def nearest_in_order(scores: DataFrame, sizes: DataFrame, margin: float = MARGIN
         return pd.DataFrame({"group": size["group"].iloc[0], "l": rows, "r": took[rows]})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, l bigint, r bigint"
-    return scores.groupBy("group").cogroup(sizes.groupBy("group")).applyInPandas(run, schema)
+    return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
 
 
 def place_texts(left: DataFrame, right: DataFrame, spread: Callable[[list[str], list[str]], list[str]] = kn.match_by_length) -> DataFrame:
@@ -260,7 +265,7 @@ def anchored_texts(left: DataFrame, right: DataFrame, anchors: DataFrame) -> Dat
 
     schema = f"group {left.schema['group'].dataType.simpleString()}, pos bigint, value string"
     held = left.select("group", "pos", "text").join(pins, "group")
-    return held.groupBy("group").cogroup(right.select("group", "pos", "text").groupBy("group")).applyInPandas(run, schema)
+    return _fresh(held).groupBy("group").cogroup(_fresh(right.select("group", "pos", "text")).groupBy("group")).applyInPandas(run, schema)
 
 
 def chapter_flow(left: list[str], right: list[str]) -> list[str]:
