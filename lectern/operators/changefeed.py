@@ -22,7 +22,7 @@ HAS_OFFSET = r"(?i)(Z|[+-]\d{2}:?\d{2})\s*$"
 def instant_micros(text: Column) -> Column:
     """Microseconds since the epoch of an ISO text; without offset it is UTC, unreadable gives NULL."""
     trimmed = F.trim(text)
-    zoned = F.when(trimmed.rlike(HAS_OFFSET), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
+    zoned = F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(trimmed, F.lit("T00:00:00Z"))).when(trimmed.rlike(HAS_OFFSET), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 
