@@ -170,7 +170,7 @@ def render(root: Node) -> tuple[str, set[str]]:
                 sinks.append([])
             elif tag in ("ul", "ol", "menu", "dl"):
                 lists.append([tag, 0])
-                put("\n\n" if len(lists) == 1 else "\n")
+                put("\n\n" if len(lists) == 1 else "")
             elif tag in ("li", "dd", "dt"):
                 sinks.append([])
             elif tag in CODE_TAGS:
@@ -203,7 +203,7 @@ def render(root: Node) -> tuple[str, set[str]]:
                 sinks[-1].pop()
         elif tag in ("ul", "ol", "menu", "dl"):
             lists.pop()
-            put("\n\n" if not lists else "\n")
+            put("\n\n" if not lists else "")
         elif tag in ("li", "dd", "dt"):
             inner = _tidy(sinks.pop())
             kind = lists[-1] if lists else ["ul", 0]

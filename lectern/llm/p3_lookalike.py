@@ -166,7 +166,8 @@ def canonical(texts: list[str | None]) -> list[str | None]:
 
     def word(m: re.Match) -> str:
         w = m.group()
-        return w.translate(_back()["c" if CYRILLIC.search(w) else "g"])
+        parts = unicodedata.normalize("NFD", w).translate(_back()["c" if CYRILLIC.search(w) else "g"])
+        return unicodedata.normalize("NFC", parts)
 
     return [t if t is None or t.isascii() else OTHER_WORD.sub(word, t) for t in skeletons(texts)]
 
