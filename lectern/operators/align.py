@@ -240,7 +240,7 @@ def place_texts(left: DataFrame, right: DataFrame, spread: Callable[[list[str],
         a, b = a.sort_values("pos"), b.sort_values("pos")
         _bounded(len(a), len(b))
         value = spread(a["text"].tolist(), b["text"].tolist()) if len(a) else []
-        return pd.DataFrame({"group": a["group"], "pos": a["pos"], "value": value})
+        return pd.DataFrame({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": value})
 
     schema = f"group {left.schema['group'].dataType.simpleString()}, pos bigint, value string"
     a, b = _both(left, right, ["text"])
@@ -261,7 +261,7 @@ def anchored_texts(left: DataFrame, right: DataFrame, anchors: DataFrame) -> Dat
         a, b = a.sort_values("pos"), b.sort_values("pos")
         _bounded(len(a), len(b))
         found = [(int(p["l"]), int(p["r"])) for p in a["pins"].iloc[0]]
-        return pd.DataFrame({"group": a["group"], "pos": a["pos"], "value": kn.fill_between(a["text"].tolist(), b["text"].tolist(), found)})
+        return pd.DataFrame({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": kn.fill_between(a["text"].tolist(), b["text"].tolist(), found)})
 
     schema = f"group {left.schema['group'].dataType.simpleString()}, pos bigint, value string"
     held = left.select("group", "pos", "text").join(pins, "group")

@@ -86,7 +86,7 @@ def translate_in_order(units: DataFrame, complete: Callable[[str, str, str], str
             value = complete(text, before, value)
             before = text
             out.append(value)
-        return pd.DataFrame({"book": chapter["book"], "pos": chapter["pos"], "value": out})
+        return pd.DataFrame({"book": chapter["book"].tolist(), "pos": chapter["pos"].tolist(), "value": out})
 
     schema = f"book {units.schema['book'].dataType.simpleString()}, pos bigint, value string"
     return units.select("book", "chapter", F.col("pos").cast("bigint").alias("pos"), "text").groupBy("book", "chapter").applyInPandas(run, schema)

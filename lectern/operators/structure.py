@@ -183,7 +183,8 @@ def numeral_headings(lines: DataFrame) -> DataFrame:
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         doc = doc.sort_values("line_no").reset_index(drop=True)
-        return doc.iloc[ascending_run(doc["line_no"].tolist(), doc["num"].tolist()) if len(doc) >= 3 else []]
+        kept = ascending_run(doc["line_no"].tolist(), doc["num"].tolist()) if len(doc) >= 3 else []
+        return pd.DataFrame({c: [doc[c].iloc[k] for k in kept] for c in doc.columns})
 
     candidates = numeral_candidates(lines)
     runs = candidates.groupBy("doc").applyInPandas(run, candidates.schema)

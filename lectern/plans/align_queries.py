@@ -68,7 +68,7 @@ def j3(spark, d):
 
 STOP = "[" + ",".join(f"'{w}'" for w in al.STOPWORDS) + "]"
 #: The pivot: the text's own lines against the held-out items, a containment join by source.
-PIVOT = f"""l as (select source as g, doc_id * 100000 + line_no as id, list_distinct(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 and not list_contains({STOP}, w))) as t from (select source, doc_id, unnest(range(len(a))) as line_no, unnest(a) as line from (select source, doc_id, string_split(text, chr(10)) as a from documents where text is not null and doc_id % 5 < 5))),
+PIVOT = f"""l as (select source as g, doc_id * 100000 + line_no as id, list_distinct(list_filter(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 and not list_contains({STOP}, w))) as t from (select source, doc_id, unnest(range(len(a))) as line_no, unnest(a) as line from (select source, doc_id, string_split(text, chr(10)) as a from documents where text is not null))),
     r as (select source as g, item_id as id, t from (select item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 and not list_contains({STOP}, w))) as t from eval_item), (select distinct source from documents where text is not null)),
     hits as (select a.g, a.id as l, b.id as r, a.nl, b.nr from (select g, id, len(t) as nl, unnest(t) as w from l) a join (select g, id, len(t) as nr, unnest(t) as w from r) b on a.g = b.g and a.w = b.w),
     sim as (select g, l, r, count(*) as shared, count(*) / least(any_value(nl), any_value(nr)) as score from hits group by g, l, r having count(*) >= 2)"""
@@ -100,15 +100,15 @@ def j4(spark, d):
 
 #: A grid of small chapters: sides are the embeddings' parity, groups their labels.
 GRID = """v as (select label, vec_id % 2 as side, row_number() over (partition by label, vec_id % 2 order by vec_id) - 1 as pos, embedding from embeddings),
-    grid as (select a.label as g, a.pos as l, b.pos as r, cast(round(list_dot_product(a.embedding::double[], b.embedding::double[]) * 1e6) as bigint) as s from v a join v b on a.label = b.label and a.side = 0 and b.side = 1 and a.pos < 14 and b.pos < 12),
+    grid as (select a.label as g, a.pos as l, b.pos as r, cast(round(list_dot_product(a.embedding::double[], b.embedding::double[]) * 1e6) as bigint) as s from v a join v b on a.label = b.label and a.side = 0 and b.side = 1),
     sizes as (select g, max(l) + 1 as n, max(r) + 1 as m from grid group by 1)"""
 
 
 def grid(spark, d):
     w = Window.partitionBy("label", "side").orderBy("vec_id")
     v = table(spark, d, "embeddings").withColumn("side", F.col("vec_id") % 2).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
-    a = v.filter("side = 0 and pos < 14").select(F.col("label").alias("group"), F.col("pos").alias("l"), F.col("embedding").alias("ea"))
-    b = v.filter("side = 1 and pos < 12").select(F.col("label").alias("group"), F.col("pos").alias("r"), F.col("embedding").alias("eb"))
+    a = v.filter("side = 0").select(F.col("label").alias("group"), F.col("pos").alias("l"), F.col("embedding").alias("ea"))
+    b = v.filter("side = 1").select(F.col("label").alias("group"), F.col("pos").alias("r"), F.col("embedding").alias("eb"))
     g = a.join(b, "group").select("group", "l", "r", F.round(dot(F.col("ea"), F.col("eb")) * 1e6).cast("bigint").alias("score"))
     sizes = g.groupBy("group").agg((F.max("l") + 1).alias("n"), (F.max("r") + 1).alias("m"))
     return g, sizes

@@ -42,10 +42,10 @@ def f_zero_width(spark, d):
     return u.select("h", h(tx.strip(tx.without_format(F.col("text")))).alias("clean"), F.regexp_count("text", F.lit(r"\p{Cf}")).cast("bigint").alias("n"))
 
 
-@reg.add("f_accent_equal", "select a.edition_id as a, b.edition_id as b from edition a join edition b on a.edition_id < b.edition_id and strip_accents(lower(a.translator)) = strip_accents(lower(b.translator))")
+@reg.add("f_accent_equal", "select a.edition_id as a, b.edition_id as b from book_info a join book_info b on a.edition_id < b.edition_id and strip_accents(lower(a.author)) = strip_accents(lower(b.author))")
 def f_accent_equal(spark, d):
     """Accent-insensitive equality as an equi-join on a folded key."""
-    e = table(spark, d, "edition").filter("translator is not null").select("edition_id", tx.mark_fold_udf("translator").alias("k"))
+    e = table(spark, d, "book_info").filter("author is not null").select("edition_id", tx.mark_fold_udf("author").alias("k"))
     a, b = e.select(F.col("edition_id").alias("a"), "k"), e.select(F.col("edition_id").alias("b"), "k")
     return a.join(b, "k").filter("a < b").select("a", "b")
 

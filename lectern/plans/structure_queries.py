@@ -253,8 +253,9 @@ def g21_gloss(spark, d):
 
 @reg.add("g20_rescue_chunks")
 def g20(spark, d):
-    """Sentences of long paragraphs in slices of at most 700 characters, with their offsets."""
-    p = paras(spark, d).filter(F.length("text") > 700).select("doc", "pos", st.sentences(F.col("text")).alias("s"))
+    """Sentences of the documents' long paragraphs in slices of at most 700 characters, with their offsets."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n\n")).alias("pos", "text"))
+    p = t.filter(F.length("text") > 700).select("doc", "pos", st.sentences(F.col("text")).alias("s"))
     g = p.withColumn("g", pk.greedy_groups(F.transform("s", F.length), 700, gap=1))
     z = g.select("doc", "pos", F.explode(F.arrays_zip("s", "g")).alias("z"))
     return z.groupBy("doc", "pos", F.col("z.g").alias("chunk")).agg(F.sum(F.length("z.s") + 1).alias("chars"), F.count("*").alias("sentences"))
