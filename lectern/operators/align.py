@@ -153,6 +153,13 @@ def alignment_strategy(embeds: Column, pivot: Column, left_numbered: Column, rig
 # --- grouped --------------------------------------------------------------------------------
 
 
+def _rows(columns: dict) -> pd.DataFrame:
+    """A frame of plain lists; empty columns are of no number type, so that they fit any schema."""
+    lists = {k: list(v) if not isinstance(v, str | int | float | np.generic) else v for k, v in columns.items()}
+    n = max((len(v) for v in lists.values() if isinstance(v, list)), default=0)
+    return pd.DataFrame({k: v if isinstance(v, list) else [v] * n for k, v in lists.items()}, dtype=None if n else object)
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same columns as new ones, so that two sides of one lineage can be grouped together."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -172,14 +179,14 @@ def align_scores(scores: DataFrame, sizes: DataFrame, floor: float | None = None
 
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
-            return pd.DataFrame({"group": [], "r": [], "l": []})
+            return _rows({"group": [], "r": [], "l": []})
         n, m, group = int(size["n"].iloc[0]), int(size["m"].iloc[0]), size["group"].iloc[0]
         _bounded(n, m)
         s = np.zeros((n, m))
         s[cells["r"].to_numpy(int), cells["l"].to_numpy(int)] = cells["score"].to_numpy(float)
         took = kn.monotone_match(s if floor is None else np.maximum(s, floor))
         weak = took < 0 if floor is None else (took < 0) | (s[np.arange(n), np.maximum(took, 0)] < floor) if m else np.ones(n, bool)
-        return pd.DataFrame({"group": group, "r": np.arange(n), "l": pd.array([None if w else int(t) for w, t in zip(weak, took)], dtype="Int64")})
+        return _rows({"group": group, "r": np.arange(n), "l": pd.array([None if w else int(t) for w, t in zip(weak, took)], dtype="Int64")})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, r bigint, l bigint"
     return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
@@ -190,7 +197,7 @@ def longest_run(pairs: DataFrame, group: str = "book") -> DataFrame:
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         found = kn.longest_rising(list(zip(p["l"].tolist(), p["r"].tolist())))
-        return pd.DataFrame({group: p[group].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
+        return _rows({group: p[group].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
 
     schema = f"{group} {pairs.schema[group].dataType.simpleString()}, l bigint, r bigint"
     return pairs.select(group, "l", "r").groupBy(group).applyInPandas(run, schema)
@@ -201,12 +208,12 @@ def content_pairs(scores: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
-            return pd.DataFrame({"group": [], "l": [], "r": []})
+            return _rows({"group": [], "l": [], "r": []})
         s = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
         _bounded(*s.shape)
         s[cells["l"].to_numpy(int), cells["r"].to_numpy(int)] = cells["score"].to_numpy(float)
         found = kn.pair_sequences(s)
-        return pd.DataFrame({"group": size["group"].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
+        return _rows({"group": size["group"].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, l bigint, r bigint"
     return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
@@ -217,13 +224,13 @@ def nearest_in_order(scores: DataFrame, sizes: DataFrame, margin: float = MARGIN
 
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
-            return pd.DataFrame({"group": [], "l": [], "r": []})
+            return _rows({"group": [], "l": [], "r": []})
         s = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
         _bounded(*s.shape)
         s[cells["l"].to_numpy(int), cells["r"].to_numpy(int)] = cells["score"].to_numpy(float)
         took = kn.nearest_forward(s, margin)
         rows = np.flatnonzero(took >= 0)
-        return pd.DataFrame({"group": size["group"].iloc[0], "l": rows, "r": took[rows]})
+        return _rows({"group": size["group"].iloc[0], "l": rows, "r": took[rows]})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, l bigint, r bigint"
     return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
@@ -240,7 +247,7 @@ def place_texts(left: DataFrame, right: DataFrame, spread: Callable[[list[str],
         a, b = a.sort_values("pos"), b.sort_values("pos")
         _bounded(len(a), len(b))
         value = spread(a["text"].tolist(), b["text"].tolist()) if len(a) else []
-        return pd.DataFrame({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": value})
+        return _rows({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": value})
 
     schema = f"group {left.schema['group'].dataType.simpleString()}, pos bigint, value string"
     a, b = _both(left, right, ["text"])
@@ -257,11 +264,11 @@ def anchored_texts(left: DataFrame, right: DataFrame, anchors: DataFrame) -> Dat
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b) or a["pins"].iloc[0] is None:
-            return pd.DataFrame({"group": [], "pos": [], "value": []})
+            return _rows({"group": [], "pos": [], "value": []})
         a, b = a.sort_values("pos"), b.sort_values("pos")
         _bounded(len(a), len(b))
         found = [(int(p["l"]), int(p["r"])) for p in a["pins"].iloc[0]]
-        return pd.DataFrame({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": kn.fill_between(a["text"].tolist(), b["text"].tolist(), found)})
+        return _rows({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": kn.fill_between(a["text"].tolist(), b["text"].tolist(), found)})
 
     schema = f"group {left.schema['group'].dataType.simpleString()}, pos bigint, value string"
     held = left.select("group", "pos", "text").join(pins, "group")

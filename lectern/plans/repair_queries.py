@@ -42,12 +42,12 @@ def f_zero_width(spark, d):
     return u.select("h", h(tx.strip(tx.without_format(F.col("text")))).alias("clean"), F.regexp_count("text", F.lit(r"\p{Cf}")).cast("bigint").alias("n"))
 
 
-@reg.add("f_accent_equal", "select a.edition_id as a, b.edition_id as b from book_info a join book_info b on a.edition_id < b.edition_id and strip_accents(lower(a.author)) = strip_accents(lower(b.author))")
-def f_accent_equal(spark, d):
-    """Accent-insensitive equality as an equi-join on a folded key."""
+@reg.add("f_accent_classes", "with k as (select edition_id, strip_accents(lower(author)) as k from book_info where author is not null) select edition_id, min(edition_id) over (partition by k) as class, count(*) over (partition by k) as members from k")
+def f_accent_classes(spark, d):
+    """Authors equal but for accents and case: each row with its class, no pairs."""
     e = table(spark, d, "book_info").filter("author is not null").select("edition_id", tx.mark_fold_udf("author").alias("k"))
-    a, b = e.select(F.col("edition_id").alias("a"), "k"), e.select(F.col("edition_id").alias("b"), "k")
-    return a.join(b, "k").filter("a < b").select("a", "b")
+    n = e.groupBy("k").agg(F.min("edition_id").alias("class"), F.count("*").alias("members"))
+    return e.join(n, "k").select("edition_id", "class", "members")
 
 
 @reg.add("f_cut_at_word", "select sent_id, case when length(text) // 2 >= length(text) then length(text) when instr(substring(text, length(text) // 2 + 1), ' ') > 0 then length(text) // 2 + instr(substring(text, length(text) // 2 + 1), ' ') - 1 else length(text) end as at from sentence")
