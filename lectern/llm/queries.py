@@ -18,7 +18,7 @@ def queries() -> dict:
         "p2_found": p2.p2_found, "p2_chapters": p2.p2_chapters,
         "p3_found": p3.p3_found, "p3_units": p3.p3_units, "p3_chapters": p3.p3_chapters,
         "p4_found": p4.p4_found, "p4_report": p4.p4_report,
-        "p5_found": p5.p5_found,
+        "p5_found": p5.p5_found, "p5_text": p5.p5_text,
         "p7_bins": p7.p7_bins, "p7_fill": p7.p7_fill,
         "p8_found": p8.p8_found, "p8_items": p8.p8_items,
         "p9_pieces": p9.p9_pieces,
