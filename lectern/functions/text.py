@@ -87,6 +87,12 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def upper_median_of(value: str) -> Column:
+    """The same as an aggregate of a group: element n div 2 in order. It keeps a count for each
+    value, never the group's rows, and combines before the shuffle."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {value} desc)").cast("int")
+
+
 def cut_at_word(text: Column, fraction: Column) -> Column:
     """How many characters make ``fraction`` of a text, moved on to the end of the word."""
     at = F.floor(F.length(text) * fraction).cast("int")

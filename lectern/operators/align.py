@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import nfkd_ascii_udf
 from lectern.operators import kernels as kn
+from lectern.session import small, written
 
 # Fixed values.
 STOPWORDS = (
@@ -65,15 +66,18 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)))
 
 
-def containment(left: DataFrame, right: DataFrame) -> DataFrame:
+def containment(left: DataFrame, right: DataFrame, stated: bool = False) -> DataFrame:
     """(group, l, r, shared, score): pairs sharing at least two words, over the smaller word set.
 
     An inverted index instead of a product: (group, word) equi-join, counted. Rows are
-    (group, id, text); words of one side are joined once each.
+    (group, id, text); words of one side are joined once each. With ``stated`` the right side is
+    a stated set of queries: its words are written, and broadcast if they are proven few.
     """
     a = left.select("group", F.col("id").alias("l"), tokens(F.col("text")).alias("t")).withColumn("nl", F.size("t"))
     b = right.select("group", F.col("id").alias("r"), tokens(F.col("text")).alias("t")).withColumn("nr", F.size("t"))
-    hits = a.select("group", "l", "nl", F.explode("t").alias("w")).join(b.select("group", "r", "nr", F.explode("t").alias("w")), ["group", "w"])
+    hits = a.select("group", "l", "nl", F.explode("t").alias("w"))
+    index = b.select("group", "r", "nr", F.explode("t").alias("w"))
+    hits = hits.join(small(written(index, "queries")) if stated else index, ["group", "w"])
     n = hits.groupBy("group", "l", "r").agg(F.count("*").alias("shared"), F.first("nl").alias("nl"), F.first("nr").alias("nr"))
     return n.filter(F.col("shared") >= LEAST_SHARED).select("group", "l", "r", "shared", (F.col("shared") / F.least("nl", "nr")).alias("score"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.numbers import chapter_number
-from lectern.functions.text import BLANK, is_blank, rstrip, squeeze, strip, upper_median, without_format
+from lectern.functions.text import BLANK, is_blank, rstrip, squeeze, strip, upper_median, upper_median_of, without_format
 
 # Fixed values of the repair rules.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -346,5 +346,5 @@ def changed_words(before: Column, after: Column) -> Column:
 
 def usable(paragraphs: DataFrame, limit: int = 6000) -> DataFrame:
     """(doc, n, typical, usable): whether a book has paragraphs of a length that can be aligned."""
-    per = paragraphs.groupBy("doc").agg(F.count("*").alias("n"), F.collect_list(F.length("text")).alias("l"))
-    return per.select("doc", "n", upper_median(F.col("l")).alias("typical"), (upper_median(F.col("l")) <= limit).alias("usable"))
+    per = paragraphs.select("doc", F.length("text").alias("l")).groupBy("doc").agg(F.count("*").alias("n"), upper_median_of("l").alias("typical"))
+    return per.withColumn("usable", F.col("typical") <= limit)

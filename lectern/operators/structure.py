@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.numbers import CARDINALS, chapter_number
-from lectern.functions.text import is_blank, squeeze, strip, upper_median
+from lectern.functions.text import is_blank, squeeze, strip, upper_median_of
 from lectern.operators.repair import OPENED, by_line
 from lectern.session import written
 
@@ -47,8 +47,8 @@ def dash_speech(text: Column) -> Column:
 
 def flat(paragraphs: DataFrame, book: str = "doc", limit: int = BLOCK_LIMIT) -> DataFrame:
     """(book, typical, flat): an edition whose paragraphs came fused together."""
-    per = paragraphs.groupBy(book).agg(F.collect_list(F.length("text")).alias("l"))
-    return per.select(book, upper_median(F.col("l")).alias("typical"), (upper_median(F.col("l")) > limit).alias("flat"))
+    per = paragraphs.select(book, F.length("text").alias("l")).groupBy(book).agg(upper_median_of("l").alias("typical"))
+    return per.withColumn("flat", F.col("typical") > limit)
 
 
 # --- number words -----------------------------------------------------------------------

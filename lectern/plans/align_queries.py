@@ -84,7 +84,7 @@ def q_coverage(spark, d):
     """Lines of the corpus that hold a third of a held-out item's words: containment join, best match, coverage."""
     lines = document_lines(spark, d).withColumn("group", F.lit(""))
     items = table(spark, d, "eval_item").select(F.lit("").alias("group"), F.col("item_id").alias("id"), "text")
-    best = al.containment(lines, items).groupBy("l").agg(F.max(F.round("score", 6)).alias("s"))
+    best = al.containment(lines, items, stated=True).groupBy("l").agg(F.max(F.round("score", 6)).alias("s"))
     rows = lines.select(F.col("id").alias("l")).join(best, "l", "left")
     n = rows.agg(F.count("*").alias("total"), F.count_if(F.col("s") >= al.FLOOR).alias("covered"))
     share = F.col("covered") / F.col("total")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import chapter_number
 from lectern.functions.text import content_hash as h
+from lectern.functions.text import upper_median_of
 from lectern.operators import annotate as an
 from lectern.operators import enrich as en
 from lectern.operators import merge as mg
@@ -366,10 +367,8 @@ def a15(spark, d):
 @reg.add("a16_medians", f"with {PARAS} select edition_id, median(length(text)) as middle, list_sort(list(length(text)))[count(*) // 2 + 1] as upper from paras group by 1")
 def a16(spark, d):
     """The two medians side by side: interpolated, and the upper element."""
-    from lectern.functions.text import upper_median
-
-    g = paras(spark, d).groupBy("edition_id").agg(F.median(F.length("text")).alias("middle"), F.collect_list(F.length("text")).alias("l"))
-    return g.select("edition_id", "middle", upper_median(F.col("l")).cast("bigint").alias("upper"))
+    p = paras(spark, d).select("edition_id", F.length("text").alias("l"))
+    return p.groupBy("edition_id").agg(F.median("l").alias("middle"), upper_median_of("l").cast("bigint").alias("upper"))
 
 
 # --- Y: merges ------------------------------------------------------------------------------
