@@ -240,7 +240,7 @@ def e3(spark, d):
     return en.translate_in_order(u, lambda text, before, value: f"{len(text)}/{len(before)}")
 
 
-@reg.add("e3_cost_cap", f"with b as ({sql_pack(6000, 4)}), c as (select edition_id as book, \"group\" as batch, sum(length(text)) as cost from b join ({'select chapter_id as doc, unnest(range(len(paragraphs))) as pos, unnest(paragraphs) as text from chapter'}) t using (doc, pos) group by all), s as (select *, coalesce(sum(cost) over (partition by book order by batch rows between unbounded preceding and 1 preceding), 0) as before from c) select book, batch, cost from s where before < 20000")
+@reg.add("e3_cost_cap", f"with b as ({sql_pack(6000, 4)}), c as (select edition_id as book, \"group\" as batch, sum(length(text))::bigint as cost from b join ({'select chapter_id as doc, unnest(range(len(paragraphs))) as pos, unnest(paragraphs) as text from chapter'}) t using (doc, pos) group by all), s as (select *, coalesce(sum(cost) over (partition by book order by batch rows between unbounded preceding and 1 preceding), 0) as before from c) select book, batch, cost from s where before < 20000")
 def e3_cap(spark, d):
     """Batches until the cost cap, the first that reaches it included."""
     return en.until_cap(batches_of(spark, d).select("book", "batch", F.col("chars").alias("cost")), 20000)
@@ -265,7 +265,7 @@ def e5(spark, d):
 
 @reg.add("a7_estimate", f"""with b as ({sql_pack(6000, 4)}), t as (select doc, pos, edition_id, ch_idx, length(text) as n from (with {PARAS} select * from paras)), x as (select t.*, coalesce(lag(n) over (partition by t.edition_id order by ch_idx, t.pos), n) as before, b."group" as g from t join b using (edition_id, doc, pos)),
     c as (select edition_id as book, g, sum(n) as chars, arg_min(before, (ch_idx, pos)) as context from x group by all)
-    select book, count(*) as batches, (count(*) * 1200 + sum(chars) + sum(context)) // 4 as input_tokens, ceil(sum(chars) * 1.15)::bigint // 4 as output_tokens from c group by book""")
+    select book, count(*) as batches, (count(*) * 1200 + sum(chars) + sum(context))::bigint // 4 as input_tokens, ceil(sum(chars) * 1.15)::bigint // 4 as output_tokens from c group by book""")
 def a7(spark, d):
     out = en.estimate(batches_of(spark, d), 1200)
     return out.select("book", "batches", F.col("input_tokens").cast("bigint").alias("input_tokens"), F.col("output_tokens").cast("bigint").alias("output_tokens"))
@@ -324,7 +324,7 @@ def a8(spark, d):
     return w.groupBy("edition_id", "word").agg(F.count("*").alias("n")).filter("n >= 3")
 
 
-@reg.add("a10_structure_report", f"with {PARAS} select edition_id, doc, count(*) as paragraphs, sum(length(text)) as chars from paras group by all")
+@reg.add("a10_structure_report", f"with {PARAS} select edition_id, doc, count(*) as paragraphs, sum(length(text))::bigint as chars from paras group by all")
 def a10(spark, d):
     return paras(spark, d).groupBy("edition_id", "doc").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
 
@@ -495,7 +495,7 @@ def k6(spark, d):
     return back.select("book", "pos", "h", h(F.col("fr")).alias("again"))
 
 
-@reg.add("k8_spreads", f"with {PARAS} select edition_id as book, sum(length(text)) as chars, count(*) as paragraphs from paras group by 1")
+@reg.add("k8_spreads", f"with {PARAS} select edition_id as book, sum(length(text))::bigint as chars, count(*) as paragraphs from paras group by 1")
 def k8(spark, d):
     """Spreads cover every character of every paragraph exactly once (the layout itself is tested)."""
     p = finished(spark, d).select("book", "pos", F.col("fr").alias("text"))

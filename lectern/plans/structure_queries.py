@@ -23,7 +23,7 @@ WORDS = "['one','two','three','four','five','six','seven','eight','nine','ten','
 def sql_num(token: str) -> str:
     """Numbers of the tokens that occur, an own reading: digits, words to twelve, numerals to XII."""
     w = rf"lower(regexp_replace({token}, '^(?i)(?:chapitre|chapter)\s+|\.$', '', 'g'))"
-    return rf"coalesce(try_cast(nullif(regexp_extract({token}, '(\d+)', 1), '') as int), nullif(list_position({WORDS}, {w}), 0), nullif(list_position({ROMANS}, {w}), 0))"
+    return rf"cast(coalesce(try_cast(nullif(regexp_extract({token}, '(\d+)', 1), '') as int), nullif(list_position({WORDS}, {w}), 0), nullif(list_position({ROMANS}, {w}), 0)) as bigint)"
 
 
 SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?…](?:[    ]?[\"»”’'')\]])*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '')".replace('\\"', '"')
@@ -303,7 +303,7 @@ def matter(spark, d):
 )
 def t1(spark, d):
     out = tr.trim_matter(matter(spark, d))
-    return out.select("book", F.col("ch_idx").cast("bigint").alias("ch_idx"), F.col("num").cast("bigint").alias("num"), F.col("p_idx").cast("bigint").alias("p_idx"), h(F.col("text")).alias("h"))
+    return out.select("book", F.col("ch_idx").cast("int").alias("ch_idx"), F.col("num").cast("bigint").alias("num"), F.col("p_idx").cast("bigint").alias("p_idx"), h(F.col("text")).alias("h"))
 
 
 @reg.add("t4_trim_edges", "with p as (select edition_id as book, chapter_id as pos, title is null as a from chapter), b as (select *, min(case when not a then pos end) over (partition by book) as lo, max(case when not a then pos end) over (partition by book) as hi from p) select book, pos from b where pos between lo and hi")
