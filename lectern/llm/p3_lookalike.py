@@ -94,13 +94,38 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int,
     return first, length, more_at, np.array([*more, 0], dtype=np.uint32), ccc, pairs
 
 
+#: Texts of these signs alone are their own form: printable ASCII, composed Latin letters, plain punctuation.
+STABLE = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u0130\u0132-\u024f\u2010-\u2027\u2030-\u205e]*\\Z")
+#: So many code points are exploded at once.
+CHUNK = 1_000_000
+
+
 def skeletons(texts: list[str | None]) -> list[str | None]:
-    """The form of each text in which equal look is equality. None stays None."""
-    first, length, more_at, more, ccc, pairs = tables()
+    """The form of each text in which equal look is equality. None stays None.
+
+    Texts that are their own form pass; the others are taken in chunks of bounded size.
+    """
     out: list[str | None] = list(texts)
-    rows = [k for k, t in enumerate(texts) if t is not None and not (t.isascii() and "\t" not in t and "\x0b" not in t and "\x0c" not in t)]
-    if not rows:
-        return out
+    rows = [k for k, t in enumerate(texts) if t is not None and not STABLE.match(t)]
+    some, size = [], 0
+    for k in [*rows, None]:
+        if k is None or some and size + len(texts[k]) > CHUNK:
+            for at, form in zip(some, _exploded([texts[at] for at in some])):
+                out[at] = form
+            some, size = [], 0
+        if k is not None:
+            some.append(k)
+            size += len(texts[k])
+    return out
+
+
+def _exploded(texts: list[str]) -> list[str]:
+    """The forms of texts by code points."""
+    if not texts:
+        return []
+    first, length, more_at, more, ccc, pairs = tables()
+    out: list[str] = list(texts)
+    rows = range(len(texts))
     cps = [np.frombuffer(texts[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for k in rows]
     flat = np.concatenate(cps)
     row = np.repeat(np.arange(len(rows)), [len(c) for c in cps])
