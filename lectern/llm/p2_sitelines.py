@@ -100,7 +100,9 @@ def repeated_lines(chapters: DataFrame, editions: DataFrame, partitions: int = 3
     whole = spark.read.schema(lines.schema).parquet(f"{path}/input")
     site = SiteLines(spark, f"{path}/state", min_chapters)
     for n in range(partitions):
-        site.merge(whole.filter(F.col("delta") == n).drop("delta").dropDuplicates(["chapter_id"]))
+        part = whole.filter(F.col("delta") == n)
+        first = F.min_by(F.struct("source", "lines"), F.xxhash64("source", "lines")).alias("c")
+        site.merge(part.groupBy("chapter_id").agg(first).select("chapter_id", "c.source", "c.lines"))
     out = site.removed(0)
     for n in range(1, partitions):
         out = out.unionByName(site.removed(n))
