@@ -1,9 +1,11 @@
 """Evaluation texts leaking into training text.
 
-Method: every word window of an item's probe size, in items and in documents, gets a SimHash
-of its word pairs; a multi-index over four blocks of the fingerprint finds all within radius
-3 for certain (three changed bits leave one block whole). Candidates are verified exactly:
-the longest piece the two texts share in order, by weighted (counted) word-pair shingles.
+Method: every window of two words, the longest run that an accepted piece is sure to keep
+whole, gets the SimHash of its word pair; a multi-index over four blocks of the fingerprint
+finds all within radius 3 for certain (three changed bits leave one block whole). Where a
+stretch of a document holds as many of an item's windows as a piece must share, the candidate
+is verified exactly: the longest piece the two texts share in order, by weighted (counted)
+word-pair shingles.
 
 The items are the stated query set; they are processed in blocks of ``BLOCK`` items, so what
 is broadcast is bounded, and every document is read whole.
@@ -12,6 +14,7 @@ is broadcast is bounded, and every document is read whole.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,12 +30,14 @@ from lectern.llm.p3_lookalike import skeletons
 from lectern.session import table
 
 BLOCK = 20_000
-#: (least words of an item, window): a third of the item holds several windows, replaced words aside.
-SIZES = ((0, 7), (60, 8), (90, 10))
+#: Words of a window. Replaced, left out and added words may leave a piece no longer run than this.
+WINDOW = 2
 RADIUS, BLOCKS = 3, 4
 #: TESTDATA.md: a third of the passage in one piece; a word is allowed to be missing at either end.
 SHARE, SIMILAR, GAP, SLIP = 0.3, 0.6, 8, 6
 CHUNK_WORDS = 50_000
+#: Documents are searched in halves while their windows meet items more often than this at once.
+HITS = 4_000_000
 
 WORD = re.compile(r"[^\W_]+")
 COMMON = re.compile(r"[\x00-\x7f\xa0-\xac\xae-ſ‐-‧‰-⁞]*\Z")
@@ -100,7 +105,7 @@ class HammingIndex:
     """All stored fingerprints within ``RADIUS`` bits, through equality on one of four blocks."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints
+        self.prints, self.order = prints, [np.argsort(p, kind="stable") for p in prints]
         self.order, self.start = [], []
         for b in range(BLOCKS):
             key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -151,44 +156,108 @@ def own_passages(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
     return list(zip([i for i, _ in parts], words_of([" ".join(p) for _, p in parts])))
 
 
+def margin_of(words: int) -> int:
+    """Words of a document that are looked at on either side of an item of so many words."""
+    return 12 + words // 4
+
+
+def least_pairs(words: int) -> int:
+    """The fewest word pairs that ``holds_piece`` lets an item of so many words share."""
+    piece = max(2, math.ceil(SHARE * words))
+    return max(1, math.ceil(SIMILAR * (piece - 1)))
+
+
 class LeakIndex:
-    """Fingerprints of all windows of the items' passages."""
+    """Fingerprints of all windows of the items' passages, each once, with where it stands."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = own_passages(items)
-        by_size: dict[int, list] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            size = [w for least, w in SIZES if len(words) >= least][-1]
-            prints = fingerprints(word_hashes(words), (size,))[size] if len(words) > 1 else []
-            by_size[size].extend((p, k, at) for at, p in enumerate(prints))
-        self.sizes = tuple(s for s in by_size if by_size[s])
-        self.index = {s: HammingIndex(np.array([p for p, _, _ in by_size[s]], dtype=np.uint64)) for s in self.sizes}
-        self.where = {s: np.array([(k, at) for _, k, at in by_size[s]], dtype=np.int64) for s in self.sizes}
+        prints = [fingerprints(word_hashes(words), (WINDOW,))[WINDOW] if len(words) > 1 else np.empty(0, np.uint64) for _, words in self.items]
+        flat = np.concatenate([np.empty(0, np.uint64), *prints])
+        item = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+        distinct, number = np.unique(flat, return_inverse=True)
+        self.index = HammingIndex(distinct)
+        both = np.unique(np.stack([number, item]), axis=1)
+        #: the items of each fingerprint: ``held`` from start[f] to start[f + 1]
+        self.held, self.start = both[1], np.searchsorted(both[0], np.arange(len(distinct) + 1))
+        self.prints, self.order = prints, [np.argsort(p, kind="stable") for p in prints]
+        self.reach = np.array([len(w) + 2 * margin_of(len(w)) for _, w in self.items], dtype=np.int64)
+        self.least = np.array([least_pairs(len(w)) for _, w in self.items], dtype=np.int64)
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int]]:
         """(document's position in ``docs``, item_id) of every leak."""
         flat = [w for d in docs for w in d]
-        if len(flat) < 2 or not self.sizes:
+        if len(flat) < 2 or not len(self.held):
             return
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         start = np.cumsum([0, *(len(d) for d in docs)])
-        prints = fingerprints(word_hashes(flat), self.sizes)
-        cases = []
-        for s in self.sizes:
-            at, stored = self.index[s].search(prints[s])
-            inside = doc[at] == doc[at + s - 1]
-            at, stored = at[inside], stored[inside]
-            item, offset = self.where[s][stored].T
-            cases.append(np.stack([doc[at], item, at - start[doc[at]] - offset]))
-        cases = np.unique(np.concatenate(cases, axis=1), axis=1)
-        done, last = set(), None
-        for d, item, shift in cases.T.tolist():
-            if (d, item) in done or last is not None and last[:2] == (d, item) and shift - last[2] < GAP:
-                continue
-            last = (d, item, shift)
-            if holds_piece(docs[d], self.items[item][1], shift):
-                done.add((d, item))
-                yield d, self.items[item][0]
+        prints = fingerprints(word_hashes(flat), (WINDOW,))[WINDOW]
+        distinct, number = np.unique(prints, return_inverse=True)
+        asked, stored = self.index.search(distinct)
+        # every place of a window in the documents, with every item that has the window
+        first, count = np.searchsorted(asked, np.arange(len(distinct))), np.bincount(asked, minlength=len(distinct))
+        at, stored_at = _spread(count[number], first[number])
+        stored_at = stored[stored_at]
+        keep = doc[at] == doc[at + WINDOW - 1]
+        at, stored_at = at[keep], stored_at[keep]
+        holders = self.start[stored_at + 1] - self.start[stored_at]
+        if holders.sum() > HITS and len(docs) > 1:
+            half = len(docs) // 2
+            yield from self.search(docs[:half])
+            yield from ((half + d, i) for d, i in self.search(docs[half:]))
+            return
+        row, place = _spread(holders, self.start[stored_at])
+        case = np.sort(self.held[place] * np.int64(len(flat)) + at[row])
+        case = case[np.diff(case, prepend=-1) > 0]
+        item, at = case // len(flat), case % len(flat)
+        # places that stand in a stretch with as many windows as a piece shares
+        n, least = len(case), self.least[item]
+        last = np.arange(n) + least - 1
+        end = np.minimum(last, n - 1)
+        opens = np.flatnonzero((last < n) & (item[end] == item) & (at[end] - at < self.reach[item]) & (doc[at[end]] == doc[at]))
+        change = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(change, opens, 1)
+        np.add.at(change, end[opens] + 1, -1)
+        dense = np.cumsum(change[:-1]) > 0
+        item, at = item[dense], at[dense]
+        key = item * np.int64(len(docs)) + doc[at]
+        bounds = np.flatnonzero(np.diff(key, prepend=-1, append=-1)) if len(key) else np.empty(0, np.int64)
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            k, d = int(item[low]), int(doc[at[low]])
+            places = at[low:high] - start[d]
+            if self._holds(docs[d], k, places, prints[at[low:high]]):
+                yield d, self.items[k][0]
+
+    def _holds(self, doc: list[str], k: int, places: np.ndarray, prints: np.ndarray) -> bool:
+        """Whether ``doc`` holds a piece of item ``k``, whose windows stand at ``places``."""
+        words = self.items[k][1]
+        own, order = self.prints[k], self.order[k]
+        low = np.searchsorted(own, prints, sorter=order)
+        hit, slot = _spread(np.searchsorted(own, prints, "right", sorter=order) - low, low)
+        at, offset = places[hit], order[slot]
+        if not _may_hold(np.bincount(offset, minlength=len(own))[None] > 0, len(words))[0]:
+            return False
+        shifts, votes = np.unique(at - offset, return_counts=True)
+        margin = margin_of(len(words))
+        near = (at >= shifts[:, None] - margin) & (at + WINDOW <= shifts[:, None] + len(words) + margin)
+        shared = np.zeros((len(shifts), len(own)), dtype=bool)
+        row, col = np.nonzero(near)
+        shared[row, offset[col]] = True
+        may = np.flatnonzero(_may_hold(shared, len(words)))
+        return any(holds_piece(doc, words, int(shifts[s])) for s in may[np.argsort(-votes[may], kind="stable")])
+
+
+def _may_hold(shared: np.ndarray, words: int) -> np.ndarray:
+    """For each row of an item's pairs, shared or not, whether a piece of them holds enough shared ones."""
+    m = max(2, math.ceil(SHARE * words)) - 1
+    sums = np.concatenate([np.zeros((len(shared), 1)), np.cumsum(shared - SIMILAR, axis=1)], axis=1)
+    return (sums[:, m:] - np.minimum.accumulate(sums, axis=1)[:, : sums.shape[1] - m]).max(axis=1) >= -1e-9
+
+
+def _spread(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): the places first, first + 1 ... of every row, ``count`` of them."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count - first, count)
 
 
 def holds_piece(doc: list[str], item: list[str], shift: int) -> bool:
@@ -197,7 +266,7 @@ def holds_piece(doc: list[str], item: list[str], shift: int) -> bool:
     A piece is a chain of common runs with small gaps; its word pairs, each as often as it
     stands in both, must make up most of the item's.
     """
-    margin = 12 + len(item) // 4
+    margin = margin_of(len(item))
     part = doc[max(0, shift - margin) : shift + len(item) + margin]
     need = SHARE * len(item)
     best, chain = 0, None

@@ -127,3 +127,32 @@ def test_instructions_are_not_passages():
     items = [(k, f"Read this now. {t} body text. Where is it?") for k, t in enumerate(("Alpha", "Beta", "Gamma", "Delta"))]
     assert [" ".join(w) for _, w in p8.own_passages(items)] == ["alpha body text", "beta body text", "gamma body text", "delta body text"]
     assert p8.own_passages([(1, "One only. Two only.")])[0][1] == ["one", "only", "two", "only"]
+
+
+def test_every_piece_that_the_verifier_accepts_is_found():
+    rng = random.Random(8)
+    item, other = prose(rng, 60).split(), prose(rng, 41).split()
+    third = item[20:40]
+    third[6], third[13] = "xxx", "yyy"
+    middle = other[10:23]
+    middle[6] = "zzz"
+    short = "seul petit texte de six mots"
+    index = p8.LeakIndex([(1, " ".join(item)), (2, " ".join(other)), (3, short), (4, "un")])
+    fill = lambda n: prose(rng, n, "q").split()
+    docs = [fill(40) + third + fill(40), fill(40) + middle + fill(40), fill(9) + short.split() + fill(9), fill(90), ["un"]]
+    assert sorted(index.search(docs)) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_the_search_is_as_the_verifier_at_every_shift():
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(n))) for k, n in enumerate((2, 5, 9, 20, 33, 47))]
+    index = p8.LeakIndex(items)
+    docs = []
+    for _ in range(40):
+        words = rng.choice(items)[1].split()
+        low = rng.randrange(len(words))
+        piece = [w if rng.random() > 0.12 else "new" for w in words[low : low + rng.randrange(2, 25)]]
+        docs.append([*(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(rng.randrange(30))), *piece])
+    shifts = lambda d, w: {i - j for i in range(len(d) - 1) for j in range(len(w) - 1) if d[i : i + 2] == w[j : j + 2]}
+    want = {(k, i) for k, d in enumerate(docs) for i, (_, w) in enumerate(index.items) if any(p8.holds_piece(d, w, s) for s in shifts(d, w))}
+    assert set(index.search(docs)) == want and 20 < len(want) < 200
