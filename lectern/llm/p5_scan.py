@@ -228,28 +228,29 @@ def readings(word: str, right: str) -> int | None:
     return best.get((len(right), len(word)))
 
 
-def correct(word: str, trie: Trie) -> tuple[str | None, list[str]]:
-    """(kind, repairs) of an unknown word in small letters: 'misread', 'joined' or None.
+def candidates(word: str, trie: Trie) -> list[tuple[int, int, str]]:
+    """(misreadings, -frequency, right word) of every vocabulary word that ``word`` may be read from."""
+    found = ((readings(word, v), v) for v in trie.within(word) if v != word)
+    return [(n, -trie.counts[v], v) for n, v in found if n]
+
+
+def splits(word: str) -> list[tuple[str, str]]:
+    """Every way to take ``word``, as it stands or with its signs read as letters, for two words run together."""
+    texts = {word, word.translate(SIGN_READINGS)}
+    halves = ((text[:i], text[i:]) for text in texts for i in range(1, len(text)))
+    return [h for h in halves if all(len(x) > 1 or x in "aày" for x in h)]
+
+
+def verdict(word: str, found: list[tuple[int, int, str]], halves: list[tuple[int, str]]) -> tuple[str | None, list[str]]:
+    """(kind, repairs) of an unknown word by its candidates and its (-frequency, halves) over the whole vocabulary.
 
     Repairs are the candidates of the fewest misreadings, the most frequent first.
     """
-    found = []
-    for v in trie.within(word):
-        n = readings(word, v) if v != word else None
-        if n:
-            found.append((n, -trie.counts[v], v))
-    found.sort()
+    found = sorted(found)
     plain = word.translate(SIGN_READINGS)
     signs = plain != word and not ORDINAL.match(word) and sum(c.isalpha() for c in word) * 2 >= len(word)
     if found and (len(word) > 3 or found[0][0] == 1):
         return "misread", [v for n, _, v in found if n == found[0][0]]
-    halves = []
-    for text in {word, plain}:
-        for i in range(1, len(text)):
-            a, b = text[:i], text[i:]
-            na, nb = trie.counts.get(a, 0), trie.counts.get(b, 0)
-            if na >= PART and nb >= PART and all(len(x) > 1 or x in "aày" for x in (a, b)):
-                halves.append((-min(na, nb), f"{a} {b}"))
     if halves and len(word) > 3:
         return "misread" if signs else "joined", [h for _, h in sorted(halves)]
     if signs:
@@ -257,32 +258,62 @@ def correct(word: str, trie: Trie) -> tuple[str | None, list[str]]:
     return None, []
 
 
+def correct(word: str, trie: Trie) -> tuple[str | None, list[str]]:
+    """(kind, repairs) of an unknown word in small letters: 'misread', 'joined' or None."""
+    parts = ((trie.counts.get(a, 0), trie.counts.get(b, 0), f"{a} {b}") for a, b in splits(word))
+    return verdict(word, candidates(word, trie), [(-min(na, nb), h) for na, nb, h in parts if na >= PART and nb >= PART])
+
+
 def word_types(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, kind, repairs): what the unknown word types are.
 
-    The vocabulary is broadcast in blocks of at most ``VOCABULARY_BLOCK`` words; the types are
-    matched against every block, and the best verdict stands.
+    The vocabulary is broadcast in blocks of at most ``VOCABULARY_BLOCK`` words. Of several
+    blocks each gives its candidates, halves are joined with the whole vocabulary, and the
+    verdict is over all of them, as with one block.
     """
-    spark = unknown.sparkSession
+    types = "word string, kind string, repairs array<string>"
     n = vocabulary.count()
     blocks = max(1, -(-n // VOCABULARY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = vocabulary if blocks == 1 else vocabulary.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
-        words = spark.sparkContext.broadcast({r.word: r.n for r in part.toLocalIterator()})
+
+    def over(part: DataFrame, rows_of, columns: str) -> DataFrame:
+        words = unknown.sparkSession.sparkContext.broadcast({r.word: r.n for r in part.toLocalIterator()})
+        names = [c.split()[0] for c in columns.split(", ")]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trie = Trie(words.value)  # noqa: B023
+            trie = Trie(words.value)
             for batch in batches:
-                rows = [(w, *correct(w, trie)) for w in batch["word"]]
-                yield pd.DataFrame([(w, k, r) for w, k, r in rows if k], columns=["word", "kind", "repairs"])
+                yield pd.DataFrame([r for w in batch["word"] for r in rows_of(w, trie)], columns=names)
+
+        return unknown.mapInPandas(run, columns)
 
-        some = unknown.mapInPandas(run, "word string, kind string, repairs array<string>")
-        out = some if out is None else out.unionByName(some)
     if blocks == 1:
-        return out
-    rank = F.struct(F.when(F.col("kind") == "misread", 0).otherwise(1), F.col("kind"), F.col("repairs"))
-    return out.groupBy("word").agg(F.min(rank).alias("r")).select("word", "r.kind", "r.repairs")
+        return over(vocabulary, lambda w, trie: [(w, *correct(w, trie))], types).filter("kind is not null")
+    option = "word string, misreadings int, n bigint, text string"
+    rows = unknown.select("word", F.lit(None).cast("int").alias("misreadings"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text"))
+    for b in range(blocks):
+        part = vocabulary.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
+        rows = rows.unionByName(over(part, lambda w, trie: [(w, *c) for c in candidates(w, trie)], option))
+
+    def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(w, *h) for w in batch["word"] for h in splits(w)], columns=["word", "a", "b"])
+
+    frequent = vocabulary.filter(F.col("n") >= PART)
+    halves = unknown.mapInPandas(halve, "word string, a string, b string")
+    for side in "ab":
+        halves = halves.join(frequent.select(F.col("word").alias(side), F.col("n").alias("n" + side)), side)
+    rows = rows.unionByName(halves.select("word", F.lit(0).alias("misreadings"), (-F.least("na", "nb")).alias("n"), F.concat_ws(" ", "a", "b").alias("text")))
+    whole = rows.groupBy("word").agg(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("misreadings", "n", "text"))).alias("options"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for w, options in zip(batch["word"], batch["options"]):
+                options = [(o["misreadings"], o["n"], o["text"]) for o in options]
+                out.append((w, *verdict(w, [o for o in options if o[0]], [o[1:] for o in options if not o[0]])))
+            yield pd.DataFrame(out, columns=["word", "kind", "repairs"])
+
+    return whole.mapInPandas(judge, types).filter("kind is not null")
 
 
 # --- the pipeline -------------------------------------------------------------------------

@@ -122,3 +122,16 @@ def test_scanned_books_end_to_end(spark):
     got = {(r.chapter_id, r.p_idx, r.kind) for r in p5.ScanNoise(c, e, b).found().collect()}
     assert got == {(99, 0, "hyphen"), (99, 0, "joined"), (99, 1, "header"), (99, 2, "cont")}, bad
     assert p5.ScanNoise(c.filter("false"), e, b).found().count() == 0
+
+
+def test_a_vocabulary_in_blocks_gives_the_verdicts_of_one(spark, monkeypatch):
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("eaoinlcmrtu") for _ in range(rng.randrange(2, 6))) for _ in range(300)})
+    vocabulary = spark.createDataFrame([(w, rng.randrange(2, 40)) for w in words], "word string, n bigint")
+    known = set(words)
+    bad = {rng.choice(words) + rng.choice(words) for _ in range(40)} | {w.replace("m", "rn").replace("e", "c", 1) for w in words} | {"c0", "1er", "a|e", "x0yz"}
+    unknown = spark.createDataFrame([(w,) for w in sorted(bad - known)], "word string")
+    result = lambda: {r.word: (r.kind, list(r.repairs)) for r in p5.word_types(unknown, vocabulary).collect()}
+    want = result()
+    monkeypatch.setattr(p5, "VOCABULARY_BLOCK", 60)
+    assert result() == want and {"misread", "joined"} == {k for k, _ in want.values()}
