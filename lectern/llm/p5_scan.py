@@ -1,8 +1,9 @@
 """Noise in text from scanned pages: find it, and repair the text into readable paragraphs.
 
 Method: the vocabulary of the corpus's typeset books is a trie; for every word type of the
-scanned books that is not in it, the Levenshtein automaton of the word is run over the whole
-trie level by level, which gives all vocabulary words within two edits. Candidates are ranked
+scanned books that is not in it, the Levenshtein automaton of the word, its steps the ways
+characters are misread, is run over the whole trie level by level, which gives all vocabulary
+words within two misreadings, whatever their edits. Candidates are ranked
 by how characters are misread, by frequency and by the words beside them; page furniture is
 taken out and the lines reflowed into paragraphs.
 """
@@ -209,6 +210,57 @@ class Trie:
             alive = nodes
         return out
 
+    def misread(self, word: str) -> list[str]:
+        """All words of the trie that at most two misreadings turn into ``word``.
+
+        As ``within``, but a step costs one misreading whatever its edits. A right pair of characters
+        waits at its first one, in ``begun``, as the bits its second one may start from.
+        """
+        m = len(word)
+        if not 0 < m <= 60 or not self.levels:
+            return []
+        size = len(self.alphabet)
+        same, firsts = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
+        single = {b: np.zeros(size, dtype=np.uint64) for b in (1, 2)}
+        double = {}
+        for j in range(m):
+            if word[j] in self.alphabet:
+                same[self.alphabet[word[j]]] |= np.uint64(1 << j)
+            for right, read in MISREADINGS:
+                if not word.startswith(read, j) or not all(c in self.alphabet for c in right):
+                    continue
+                codes = [self.alphabet[c] for c in right]
+                if len(codes) == 1:
+                    single[len(read)][codes[0]] |= np.uint64(1 << j)
+                else:
+                    firsts[codes[0]] |= np.uint64(1 << j)
+                    double[*codes, len(read)] = double.get((*codes, len(read)), 0) | 1 << j
+        one, final = np.uint64(1), np.uint64(1 << m)
+        alive, char = np.zeros(1, dtype=np.int64), np.full(1, -1)
+        state = [np.array([e == 0], dtype=np.uint64) for e in range(3)]
+        begun = [np.zeros(1, dtype=np.uint64) for _ in range(2)]
+        out = []
+        for chars, ends, start in self.levels:
+            low, n = start[alive], start[alive + 1] - start[alive]
+            if not n.sum():
+                break
+            parent = np.repeat(np.arange(len(alive)), n)
+            nodes = np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(parent))
+            c, before = chars[nodes], char[parent]
+            new = [(s[parent] & same[c]) << one for s in state]
+            for e in (0, 1):
+                for b, masks in single.items():
+                    new[e + 1] |= (state[e][parent] & masks[c]) << np.uint64(b)
+                for (x, y, b), mask in double.items():
+                    new[e + 1] |= np.where((before == x) & (c == y), (begun[e][parent] & np.uint64(mask)) << np.uint64(b), np.uint64(0))
+            waits = [state[e][parent] & firsts[c] for e in (0, 1)]
+            live = (new[0] | new[1] | new[2] | waits[0] | waits[1]) != 0
+            nodes, char, state, begun = nodes[live], c[live], [s[live] for s in new], [w[live] for w in waits]
+            done = nodes[((state[0] | state[1] | state[2]) & final != 0) & (ends[nodes] >= 0)]
+            out.extend(self.words[k] for k in ends[done])
+            alive = nodes
+        return out
+
 
 def readings(word: str, right: str) -> int | None:
     """The fewest misreadings that turn ``right`` into ``word``; None if they can't (at most two)."""
@@ -230,7 +282,7 @@ def readings(word: str, right: str) -> int | None:
 
 def candidates(word: str, trie: Trie) -> list[tuple[int, int, str]]:
     """(misreadings, -frequency, right word) of every vocabulary word that ``word`` may be read from."""
-    found = ((readings(word, v), v) for v in trie.within(word) if v != word)
+    found = ((readings(word, v), v) for v in trie.misread(word) if v != word)
     return [(n, -trie.counts[v], v) for n, v in found if n]
 
 

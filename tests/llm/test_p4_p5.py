@@ -135,3 +135,17 @@ def test_a_vocabulary_in_blocks_gives_the_verdicts_of_one(spark, monkeypatch):
     want = result()
     monkeypatch.setattr(p5, "VOCABULARY_BLOCK", 60)
     assert result() == want and {"misread", "joined"} == {k for k, _ in want.values()}
+
+
+def test_every_word_that_two_misreadings_explain_is_retrieved():
+    rng = random.Random(12)
+    words = {"".join(rng.choice("eaoinlcmrtudhé") for _ in range(rng.randrange(1, 8))): 1 for _ in range(600)} | {"moment": 9, "madame": 9, "minium": 9}
+    trie = p5.Trie(words)
+    assert p5.correct("rnornent", trie) == ("misread", ["moment"]) and p5.correct("maclarne", trie) == ("misread", ["madame"])
+    for _ in range(200):
+        w = rng.choice(sorted(words))
+        for _ in range(2):
+            a, b = rng.choice(sorted(p5.MISREADINGS))
+            w = w.replace(a, b, 1)
+        assert sorted(trie.misread(w)) == sorted(v for v in words if p5.readings(w, v) is not None)
+    assert p5.Trie({}).misread("a") == [] and trie.misread("") == [] and trie.misread("a" * 99) == []
