@@ -296,13 +296,13 @@ def splits(word: str) -> list[tuple[str, str]]:
 def verdict(word: str, found: list[tuple[int, int, str]], halves: list[tuple[int, str]]) -> tuple[str | None, list[str]]:
     """(kind, repairs) of an unknown word by its candidates and its (-frequency, halves) over the whole vocabulary.
 
-    Repairs are the candidates of the fewest misreadings, the most frequent first.
+    Repairs are all candidates, in order of misreadings and then of frequency; the context has the last word.
     """
     found = sorted(found)
     plain = word.translate(SIGN_READINGS)
     signs = plain != word and not ORDINAL.match(word) and sum(c.isalpha() for c in word) * 2 >= len(word)
     if found and (len(word) > 3 or found[0][0] == 1):
-        return "misread", [v for n, _, v in found if n == found[0][0]]
+        return "misread", [v for _, _, v in found]
     if halves and len(word) > 3:
         return "misread" if signs else "joined", [h for _, h in sorted(halves)]
     if signs:

@@ -2,6 +2,9 @@
 
 import itertools
 import random
+from types import SimpleNamespace
+
+from pyspark.sql import functions as F
 
 from lectern.llm import p4_bitext as p4
 from lectern.llm import p5_scan as p5
@@ -149,3 +152,12 @@ def test_every_word_that_two_misreadings_explain_is_retrieved():
             w = w.replace(a, b, 1)
         assert sorted(trie.misread(w)) == sorted(v for v in words if p5.readings(w, v) is not None)
     assert p5.Trie({}).misread("a") == [] and trie.misread("") == [] and trie.misread("a" * 99) == []
+
+
+def test_the_word_before_may_choose_a_word_of_more_misreadings(spark):
+    vocabulary = spark.createDataFrame([("lone", 9), ("lane", 5), ("petite", 9)], "word string, n bigint")
+    suspects = spark.createDataFrame([(1, 0, "lonc", "petite", None), (1, 1, "lonc", "une", None), (1, 2, "lonc", None, None)], "chapter_id bigint, p_idx bigint, part string, before string, after string")
+    clean = spark.createDataFrame([(["la petite lane", "Petite lane."],)], "paragraphs array<string>")
+    types = p5.word_types(suspects.select(F.col("part").alias("word")).distinct(), vocabulary)
+    got = {r.before: r.repair for r in p5.choices(SimpleNamespace(suspects=suspects, types=types, clean=clean)).collect()}
+    assert got == {"petite": "lane", "une": "lone", None: "lone"}
