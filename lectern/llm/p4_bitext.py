@@ -19,8 +19,6 @@ from lectern.session import small, table, written
 MIN_WEIGHT, NAME_WEIGHT = 2.2, 3.5
 MIN_JOINT, MIN_LIFT, MIN_SHARE = 3, 4.0, 0.1
 MATCH, GROW_SCORE, GROW_WEIGHT, FAR_WEIGHT, SURE_SCORE, SURE_WEIGHT, NEAR = 0.35, 0.38, 9.5, 14.0, 0.75, 5.0, 4
-#: Sentences of one chapter pair meet within bands of this many (and the next ones) of scaled position.
-BAND = 512
 
 
 def paired_chapters(reports: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -42,7 +40,7 @@ def paired_chapters(reports: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def _weighted(sents: DataFrame) -> DataFrame:
-    """(pair, side, sid, pos, band, last, bag, t): each sentence's words of weight, hashed, and their sum.
+    """(pair, side, sid, pos, bag, t): each sentence's words of weight, hashed, and their sum.
 
     ``bag`` holds structs (k, w, x, alike, digits): the number in the sentence, the word, its
     weight, whether both languages write it. Written once; words are exploded from it.
@@ -52,7 +50,7 @@ def _weighted(sents: DataFrame) -> DataFrame:
     totals = sents.agg(*[F.count_if(F.col("side") == s).alias("n" + s) for s in "fe"])
     idf = words.join(F.broadcast(totals)).select("w", *[F.ln(F.col("n" + s) / F.when(F.col("d" + s) > 0, F.col("d" + s))).cast("float").alias("x" + s) for s in "fe"])
     idf = small(written(idf, "idf"))
-    key = ["pair", "side", "sid", "pos", "band", "last"]
+    key = ["pair", "side", "sid", "pos"]
     rows = sents.select(*key, F.posexplode("toks").alias("k", "w")).join(idf, "w")
     rows = rows.select(*key, F.col("k").cast("smallint").alias("k"), F.xxhash64("w").alias("w"), F.when(F.col("side") == "f", F.col("xf")).otherwise(F.col("xe")).alias("x"), (F.col("xf").isNotNull() & F.col("xe").isNotNull()).alias("alike"), F.col("w").rlike(r"^\d+$").alias("digits"))
     rows = rows.filter((F.col("x") > MIN_WEIGHT) | F.col("digits"))
@@ -60,10 +58,9 @@ def _weighted(sents: DataFrame) -> DataFrame:
 
 
 def _side(bags: DataFrame, side: str) -> DataFrame:
-    """The words of one side: columns named for it, English sentences in every band they may meet."""
+    """The words of one side: columns named for it."""
     one = bags.filter(F.col("side") == side)
-    band = F.col("band") if side == "f" else F.explode(F.sequence(F.greatest(F.col("band") - 1, F.lit(0)), F.least(F.col("band") + 1, F.col("last"))))
-    one = one.select("pair", F.col("sid").alias(side), F.col("pos").alias("p" + side), F.col("t").alias("t" + side), band.alias("band"), "bag").select("*", F.inline("bag")).drop("bag")
+    one = one.select("pair", F.col("sid").alias(side), F.col("pos").alias("p" + side), F.col("t").alias("t" + side), "bag").select("*", F.inline("bag")).drop("bag")
     return one.withColumnsRenamed({"k": "k" + side, "w": "w" + side, "x": "x" + side})
 
 
@@ -97,9 +94,9 @@ def _candidates(bags: DataFrame, lexicon: DataFrame) -> DataFrame:
     English words that the forward table explains, ``hf`` the French words that the backward
     table explains: both directions' retrievals, which must agree later.
     """
-    f = _side(bags, "f").select("pair", "band", "f", "pf", "tf", "kf", "wf", "xf")
-    e = _side(bags, "e").select("pair", "band", "e", "pe", "te", "ke", "we", "xe")
-    hits = f.join(small(lexicon), "wf").join(e, ["pair", "band", "we"])
+    f = _side(bags, "f").select("pair", "f", "pf", "tf", "kf", "wf", "xf")
+    e = _side(bags, "e").select("pair", "e", "pe", "te", "ke", "we", "xe")
+    hits = f.join(small(lexicon), "wf").join(e, ["pair", "we"])
     he, hf = F.struct(F.col("ke").alias("k"), F.col("xe").alias("x")), F.struct(F.col("kf").alias("k"), F.col("xf").alias("x"))
     same = [F.first(c).alias(c) for c in ("pair", "pf", "pe", "tf", "te")]
     met = hits.groupBy("f", "e").agg(*same, F.collect_set(F.when(F.col("forward"), he)).alias("he"), F.collect_set(F.when(F.col("backward"), hf)).alias("hf"))
@@ -147,15 +144,13 @@ def align_sentences(sentences: DataFrame, chapters: DataFrame, reports: DataFram
     s = sentences.filter("sent_id is not null and chapter_id is not null and text is not null").select("sent_id", "chapter_id", "p_idx", "s_idx", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("toks"))
     s = s.groupBy("sent_id").agg(F.min(F.struct("chapter_id", "p_idx", "s_idx", "toks")).alias("s")).select("sent_id", "s.*")
     within = Window.partitionBy("chapter_id")
-    placed = s.withColumns({"pos": F.row_number().over(within.orderBy("p_idx", "s_idx", "sent_id")), "n": F.count("*").over(within)})
-    sizes = s.groupBy("chapter_id").agg(F.count("*").alias("n"))
-    both = pairs.join(sizes.select(F.col("chapter_id").alias("fr_chapter"), F.col("n").alias("a")), "fr_chapter").join(sizes.select(F.col("chapter_id").alias("en_chapter"), F.col("n").alias("b")), "en_chapter")
-    sides = both.select("pair", F.explode(F.array(F.struct(F.lit("f").alias("side"), F.col("fr_chapter").alias("chapter_id")), F.struct(F.lit("e").alias("side"), F.col("en_chapter").alias("chapter_id")))).alias("s"), F.greatest("a", "b").alias("larger")).select("pair", "s.*", "larger")
+    placed = s.withColumn("pos", F.row_number().over(within.orderBy("p_idx", "s_idx", "sent_id")))
+    sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("f").alias("side"), F.col("fr_chapter").alias("chapter_id")), F.struct(F.lit("e").alias("side"), F.col("en_chapter").alias("chapter_id")))).alias("s")).select("pair", "s.*")
     placed = placed.join(sides, "chapter_id")
-    placed = placed.select("pair", "side", F.col("sent_id").alias("sid"), "pos", F.floor((F.col("pos") - 1) * F.col("larger") / F.col("n") / BAND).alias("band"), F.floor((F.col("larger") - 1) / BAND).alias("last"), "toks")
+    placed = placed.select("pair", "side", F.col("sent_id").alias("sid"), "pos", "toks")
     bags = written(_weighted(written(placed, "placed")), "bags")
     anchor = lambda side: F.expr(f"alike and (digits or x{side} > {NAME_WEIGHT})")
-    links = _side(bags, "f").filter(anchor("f")).select("pair", "band", F.col("wf").alias("w"), "f").join(_side(bags, "e").filter(anchor("e")).select("pair", "band", F.col("we").alias("w"), "e"), ["pair", "band", "w"])
+    links = _side(bags, "f").filter(anchor("f")).select("pair", F.col("wf").alias("w"), "f").join(_side(bags, "e").filter(anchor("e")).select("pair", F.col("we").alias("w"), "e"), ["pair", "w"])
     lexicon = written(learn(links, bags, glossary), "lexicon")
     first = written(_mutual(_candidates(bags, lexicon)).select("f", "e"), "matches")
     lexicon = written(learn(first, bags, glossary), "lexicon")

@@ -161,3 +161,17 @@ def test_the_word_before_may_choose_a_word_of_more_misreadings(spark):
     types = p5.word_types(suspects.select(F.col("part").alias("word")).distinct(), vocabulary)
     got = {r.before: r.repair for r in p5.choices(SimpleNamespace(suspects=suspects, types=types, clean=clean)).collect()}
     assert got == {"petite": "lane", "une": "lone", None: "lone"}
+
+
+def test_a_passage_moved_across_a_long_chapter_is_found(spark):
+    rng = random.Random(13)
+    clauses = [[rng.randrange(len(FR)) for _ in range(6)] for _ in range(1800)]
+    order = [*range(1740, 1800), *range(1740)]
+    rows = [(k, 0, k, 0, "fr", " ".join(FR[w] for w in c) + f" Nom{k}x.") for k, c in enumerate(clauses)]
+    rows += [(10_000 + k, 1, j, 0, "en", " ".join(EN[w] for w in clauses[k]) + f" Nom{k}x.") for j, k in enumerate(order)]
+    s = spark.createDataFrame(rows, SENT)
+    c = spark.createDataFrame([(0, 10, 0, "1", None), (1, 11, 0, "1", None)], CHAP)
+    r = spark.createDataFrame([(10, 11)], "fr_edition_id bigint, en_edition_id bigint")
+    g = spark.createDataFrame([(None, "x")], "term_fr string, term_en string")
+    got = {(x.f, x.e) for x in p4.align_sentences(s, c, r, g).collect()}
+    assert sum((k, 10_000 + k) in got for k in order[:60]) >= 57 and sum((k, 10_000 + k) in got for k in order[60:]) >= 1650
