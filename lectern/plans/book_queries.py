@@ -213,14 +213,18 @@ def a6(spark, d):
 
 @reg.add("n7_n8_absorb")
 def n7(spark, d):
-    """Units absorbed in any order, failures rescued by chunks with their offsets added."""
-    a = anchored(spark, d).select(h(F.col("text")).alias("h"), "units", "sent_id")
-    held = a.filter("sent_id % 2 = 0").select("h", "units")
-    new = a.filter("sent_id % 3 = 0").select("h", "units")
-    merged = an.absorb(held, new)
-    chunks = a.filter("sent_id % 5 = 0").select("h", F.lit(10).alias("offset"), "units")
-    saved = an.rescue(a.filter("sent_id % 10 = 0").select("h").distinct(), chunks)
-    return merged.select("h", F.size("units").alias("n"), F.lit("held").alias("how")).unionByName(saved.select("h", F.size("units").alias("n"), F.lit("rescued").alias("how")))
+    """Units absorbed in any order; of sentences too long for one reply, whose units fail, all are rescued by chunks with their offsets added."""
+    a = anchored(spark, d).select(h(F.col("text")).alias("h"), "text", "units")
+    held = a.select("h", F.when(F.length("text") > 80, F.slice("units", 1, 0)).otherwise(F.col("units")).alias("units"))
+    merged = an.absorb(held, held)
+    failed = merged.filter(F.size("units") == 0).select("h")
+    cut = F.expr("locate(' ', text, cast(length(text) / 2 as int) + 1)")
+    texts = a.join(failed, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).withColumn("cut", cut)
+    parts = texts.select("h", F.inline(F.array(F.struct(F.lit(0).alias("offset"), F.expr("substring(text, 1, cut)").alias("text")), F.struct(F.col("cut").alias("offset"), F.expr("substring(text, cut + 1)").alias("text")))))
+    chunks = parts.withColumn("u", an.unit_lines(proposed(F.col("text")))).select("h", "offset", an.anchor("text", "u").alias("units"))
+    saved = an.rescue(failed, chunks)
+    whole = an.absorb(merged, saved).join(failed.withColumn("how", F.lit("rescued")), "h", "left")
+    return whole.select("h", F.size("units").alias("n"), F.coalesce("how", F.lit("held")).alias("how"))
 
 
 # --- E: enrichment ------------------------------------------------------------------------

@@ -210,3 +210,13 @@ def test_metrics(spark):
     old = spark.createDataFrame([(1, 2, None), (2, 5, "x")], "k int, a int, b string")
     new = spark.createDataFrame([(1, 2, None), (2, 6, "x"), (3, 1, None)], "k int, a int, b string")
     assert {tuple(r) for r in mt.drift(old, new, "k", ["a", "b"]).collect()} == {(2, "a", "5", "6"), (3, "a", None, "1")}
+
+
+def test_absorb_query_covers_every_sentence(spark, tmp_path):
+    from lectern.plans import book_queries as bq
+
+    texts = {k: " ".join(f"mot{'abcdefghij'[(k + j) % 10]}" for j in range(2 + k)) for k in range(30)}
+    spark.createDataFrame(list(texts.items()), "sent_id bigint, text string").write.parquet(str(tmp_path / "sentence.parquet"))
+    rows = bq.queries()["n7_n8_absorb"](spark, str(tmp_path)).collect()
+    assert sorted(r.n for r in rows) == [2 + k for k in range(30)]
+    assert {r.n for r in rows if r.how == "rescued"} == {len(t.split()) for t in texts.values() if len(t) > 80}
