@@ -1,14 +1,16 @@
 """Evaluation texts leaking into training text.
 
-Method: every window of two words, the longest run that an accepted piece is sure to keep
-whole, gets the SimHash of its word pair; a multi-index over four blocks of the fingerprint
-finds all within radius 3 for certain (three changed bits leave one block whole). Where a
-stretch of a document holds as many of an item's windows as a piece must share, the candidate
-is verified exactly: the longest piece the two texts share in order, by weighted (counted)
-word-pair shingles.
-
-The items are the stated query set; they are processed in blocks of ``BLOCK`` items, so what
-is broadcast is bounded, and every document is read whole.
+Method: windows are sized by the item: three quarters of the least piece that counts, so that
+every such piece holds a whole window of the document, of which one starts every third of a
+window. Each window gets the SimHash of its words; a multi-index over the blocks of the
+fingerprint finds all stored windows of that size within the radius for certain. Windows that
+stand near each other in documents and items are verified exactly: the longest piece the two
+texts share in order, by weighted (counted) word-pair shingles.
+
+The radius is measured on replaced words (``tests/llm``, README): it finds at least nine of ten
+thirds of a passage with every sixth word replaced. The items are the stated query set; they are
+processed in blocks of ``BLOCK`` words, so what is broadcast is bounded, and every document
+is read whole. Instructions and questions are told by all items, not by one block's.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,22 +30,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.p3_lookalike import skeletons
-from lectern.session import table
-
-BLOCK = 20_000
-#: Words of a window. Replaced, left out and added words may leave a piece no longer run than this.
-WINDOW = 2
-RADIUS, BLOCKS = 3, 4
+from lectern.session import table, written
+
+#: Words of passages whose windows are indexed and broadcast at once (each window takes some 2 kB).
+BLOCK = 100_000
+#: Every fingerprint within the radius agrees with the stored one, but for at most two bits, in one of the blocks.
+RADIUS, BLOCKS = 11, 4
+#: A window is this share of the least piece; the windows of a document start a third of a window apart.
+WINDOW_SHARE, STARTS = 0.75, 3
+#: The share of a window's words that stand at the same place in both texts; added and left out words shift the rest.
+ALIGNED, DRIFT = 0.25, 2
 #: TESTDATA.md: a third of the passage in one piece; a word is allowed to be missing at either end.
 SHARE, SIMILAR, GAP, SLIP = 0.3, 0.6, 8, 6
 CHUNK_WORDS = 50_000
-#: Documents are searched in halves while their windows meet items more often than this at once.
-HITS = 4_000_000
+#: Windows are looked up so many at a time that about this many stored ones are compared at once.
+COMPARED = 400_000
 
 WORD = re.compile(r"[^\W_]+")
 COMMON = re.compile(r"[\x00-\x7f\xa0-\xac\xae-ſ‐-‧‰-⁞]*\Z")
 SIGNS = re.compile(r"[<&\\{\[]")
-MARKUP = re.compile(r"<ref[^<>]*>.{0,200}?</ref>|</?[A-Za-z!][^<>]{0,300}>|\\[A-Za-z]+\*?|\{\{[^{}|]{0,60}\||\[\[[^\[\]|]{0,80}\||\]\([^()\s]{0,200}\)|\[\^?\d{1,3}\]|\[\^[^\]\s]{1,20}\]", re.S | re.I)
+MARKUP = re.compile(r"<ref\b[^<>]*>[^<]*(?:<(?!/?ref\b)[^<]*)*</ref>|</?[A-Za-z!][^<>]*>|\\[A-Za-z]+\*?|\{\{[^{}|]*\||\[\[[^\[\]|]*\||\]\([^()\s]*\)|\[\^?\d{1,3}\]|\[\^[^\[\]\s]+\]", re.I)
 
 
 def words_of(texts: list[str]) -> list[list[str]]:
@@ -75,85 +82,94 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def fingerprints(hashes: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """SimHash of every window of each size: one bit for a majority of the window's word pairs.
-
-    Window sums come from sums over runs of 1, 2, 4 ... pairs, in bytes.
-    """
-    n = len(hashes)
+def word_sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums of the words' hash bits, a set bit as 1 and a clear one as -1 (in 16 bits, which wrap)."""
     with np.errstate(over="ignore"):
-        pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-        pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    runs = [np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1)]
-    out = {}
-    for w in sizes:
-        if n < w:
-            out[w] = np.empty(0, np.uint64)
-            continue
-        total, at = np.zeros((n - w + 1, 64), dtype=np.uint8), 0
-        for b in range((w - 1).bit_length()):
-            while len(runs) <= b:
-                runs.append(runs[-1][: -(1 << (len(runs) - 1))] + runs[-1][1 << (len(runs) - 1) :])
-            if (w - 1) >> b & 1:
-                total += runs[b][at : at + n - w + 1]
-                at += 1 << b
-        out[w] = np.packbits(total > (w - 1) // 2, axis=1).view(np.uint64).ravel()
-    return out
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
+    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int16 if len(hashes) < 2**31 else np.int64)
+    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
+    return sums
+
+
+def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of ``size`` words that start ``at``: one bit for a majority of the words."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    return np.packbits(sums[at + size] - sums[at] > 0, axis=1).view(np.uint64).ravel()
 
 
 class HammingIndex:
-    """All stored fingerprints within ``RADIUS`` bits, through equality on one of four blocks."""
+    """All stored fingerprints within ``RADIUS`` bits, through near equality of one of the blocks.
+
+    Of ``BLOCKS`` blocks one differs in at most RADIUS // BLOCKS bits; every stored fingerprint
+    stands under each key of a block that is so near to its own.
+    """
+
+    EDGES = [round(64 * b / BLOCKS) for b in range(BLOCKS + 1)]
+    MASKS = {w: np.array([sum(1 << x for x in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(w), r)]) for w in {64 // BLOCKS, -(-64 // BLOCKS)}}
 
     def __init__(self, prints: np.ndarray):
-        self.prints, self.order = prints, [np.argsort(p, kind="stable") for p in prints]
-        self.order, self.start = [], []
-        for b in range(BLOCKS):
-            key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            self.order.append(np.argsort(key, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << 16))]))
+        self.prints, self.order, self.start = prints, [], []
+        for low, high in zip(self.EDGES, self.EDGES[1:]):
+            own = self._block(prints, low, high)
+            near = self.MASKS[high - low]
+            key = (own[:, None] ^ near[None]).ravel()
+            self.order.append((np.argsort(key.astype(np.uint16), kind="stable") // len(near)).astype(np.int32))
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << (high - low)))]))
+
+    @staticmethod
+    def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
+        return ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, stored) of every pair within the radius."""
-        ats, found = [], []
-        for b in range(BLOCKS):
-            key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            low = self.start[b][key]
-            n = self.start[b][key + 1] - low
-            at = np.flatnonzero(n)
-            if not len(at):
-                continue
-            n, low = n[at], low[at]
-            at = np.repeat(at, n)
-            stored = self.order[b][np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
-            near = np.bitwise_count(prints[at] ^ self.prints[stored]) <= RADIUS
-            ats.append(at[near])
-            found.append(stored[near])
-        if not ats:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(ats), np.concatenate(found)]), axis=1)
-        return both[0], both[1]
-
-
-def own_passages(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
-    """(item_id, words) without instruction or question.
+        """(position, stored) of every pair within the radius, each once."""
+        ats, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        step = max(1, int(COMPARED / max(1.0, len(self.prints) * 0.003)))
+        for first in range(0, len(prints), step):
+            asked = prints[first : first + step]
+            for b, (low, high) in enumerate(zip(self.EDGES, self.EDGES[1:])):
+                key = self._block(asked, low, high)
+                begin = self.start[b][key]
+                at, place = _spread(self.start[b][key + 1] - begin, begin)
+                stored = self.order[b][place]
+                near = np.flatnonzero(np.bitwise_count(asked[at] ^ self.prints[stored]) <= RADIUS)
+                ats.append(at[near] + first)
+                found.append(stored[near].astype(np.int64))
+        both = np.unique(np.concatenate(ats) * np.int64(max(1, len(self.prints))) + np.concatenate(found))
+        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
+
+
+SENTENCE = re.compile(r"(?<=[.?!…])\s+|\n+")
+PARTS = "item_id bigint, parts array<string>, keys array<string>"
+
+
+def own_passages(items: DataFrame) -> DataFrame:
+    """(item_id, text): the items without instruction or question, told by all items.
 
     A first (last) sentence is an instruction (a question) where it stands first (last) in at
-    least three items and is followed (preceded) by at least three different sentences.
+    least three items and is followed (preceded) by at least three different sentences; up to
+    three of them are taken off. NULL ids and texts give no row; a repeated row gives one.
     """
-    split = re.compile(r"(?<=[.?!…])\s+|\n+")
-    parts = [(i, [s for s in split.split(t) if WORD.search(s)]) for i, t in items if t]
-    key = lambda s: tuple(WORD.findall(s.lower()))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [[s for s in SENTENCE.split(t) if WORD.search(s)] for t in batch["text"]]
+            keys = [[" ".join(WORD.findall(s.lower())) for s in p] for p in parts]
+            yield pd.DataFrame({"item_id": batch["item_id"], "parts": parts, "keys": keys})
+
+    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct().mapInPandas(cut, PARTS)
+    rows = written(rows, "items")
     for _ in range(3):
-        lead, tail = defaultdict(set), defaultdict(set)
-        seen: Counter = Counter()
-        for _, p in parts:
-            if len(p) > 1:
-                lead[key(p[0])].add(key(p[1]))
-                tail[key(p[-1])].add(key(p[-2]))
-                seen.update([("l", key(p[0])), ("t", key(p[-1]))])
-        fixed = lambda side, s: len(side[s]) >= 3 and seen["l" if side is lead else "t", s] >= 3
-        parts = [(i, p[int(len(p) > 1 and fixed(lead, key(p[0]))) : len(p) - int(len(p) > 1 and fixed(tail, key(p[-1])))] or p) for i, p in parts]
-    return list(zip([i for i, _ in parts], words_of([" ".join(p) for _, p in parts])))
+        many = rows.filter(F.size("keys") > 1)
+        for side, first, second in (("lead", 1, 2), ("tail", -1, -2)):
+            own, beside = F.element_at("keys", first).alias(side), F.element_at("keys", second).alias("beside")
+            fixed = many.select(own, beside).groupBy(side).agg(F.count("*").alias("n"), F.count_distinct("beside").alias("m")).filter("n >= 3 and m >= 3")
+            rows = rows.withColumn(side, F.when(F.size("keys") > 1, F.element_at("keys", first))).join(fixed.select(side, F.lit(1).alias(f"{side}_off")), side, "left").na.fill(0, [f"{side}_off"])
+        kept = F.size("keys") - F.col("lead_off") - F.col("tail_off")
+        take = lambda c: F.when(kept > 0, F.slice(c, F.col("lead_off") + 1, kept)).otherwise(F.col(c)).alias(c)
+        rows = written(rows.select("item_id", take("parts"), take("keys")), "items")
+    return rows.select("item_id", F.concat_ws(" ", "parts").alias("text"))
 
 
 def margin_of(words: int) -> int:
@@ -167,91 +183,87 @@ def least_pairs(words: int) -> int:
     return max(1, math.ceil(SIMILAR * (piece - 1)))
 
 
+def window_of(words: int) -> int:
+    """The window of an item of so many words; long ones in steps of an eighth, so that sizes stay few."""
+    size = max(2, int(WINDOW_SHARE * math.ceil(SHARE * words)))
+    grain = max(0, size.bit_length() - 4)
+    return size >> grain << grain
+
+
 class LeakIndex:
-    """Fingerprints of all windows of the items' passages, each once, with where it stands."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = own_passages(items)
-        prints = [fingerprints(word_hashes(words), (WINDOW,))[WINDOW] if len(words) > 1 else np.empty(0, np.uint64) for _, words in self.items]
-        flat = np.concatenate([np.empty(0, np.uint64), *prints])
-        item = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        distinct, number = np.unique(flat, return_inverse=True)
-        self.index = HammingIndex(distinct)
-        both = np.unique(np.stack([number, item]), axis=1)
-        #: the items of each fingerprint: ``held`` from start[f] to start[f + 1]
-        self.held, self.start = both[1], np.searchsorted(both[0], np.arange(len(distinct) + 1))
-        self.prints, self.order = prints, [np.argsort(p, kind="stable") for p in prints]
-        self.reach = np.array([len(w) + 2 * margin_of(len(w)) for _, w in self.items], dtype=np.int64)
-        self.least = np.array([least_pairs(len(w)) for _, w in self.items], dtype=np.int64)
+    """Fingerprints of all windows of the items' passages by size, with where they stand."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        holders: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for ident, words in items:
+            if len(words) > 1:
+                holders[tuple(words)].append(ident)
+        #: each passage once: its words, its items
+        self.passages = [(list(words), sorted(set(ids))) for words, ids in holders.items()]
+        self.pairs = [frozenset(zip(words, words[1:])) for words, _ in self.passages]
+        flat = [w for words, _ in self.passages for w in words]
+        self.hashes = word_hashes(flat)
+        self.start = np.cumsum([0, *(len(words) for words, _ in self.passages)])
+        sums = word_sums(self.hashes)
+        sizes = defaultdict(list)
+        for k, (words, _) in enumerate(self.passages):
+            sizes[window_of(len(words))].append(k)
+        #: size, place of every stored window in the flat words, passage, index
+        self.windows = []
+        for size, owners in sorted(sizes.items()):
+            place = np.concatenate([np.arange(self.start[k], self.start[k + 1] - size + 1) for k in owners])
+            self.windows.append((size, place, np.searchsorted(self.start, place, "right") - 1, HammingIndex(fingerprints(sums, place, size))))
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int]]:
         """(document's position in ``docs``, item_id) of every leak."""
         flat = [w for d in docs for w in d]
-        if len(flat) < 2 or not len(self.held):
+        if len(flat) < 2 or not self.windows:
             return
+        hashes = word_hashes(flat)
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         start = np.cumsum([0, *(len(d) for d in docs)])
-        prints = fingerprints(word_hashes(flat), (WINDOW,))[WINDOW]
-        distinct, number = np.unique(prints, return_inverse=True)
-        asked, stored = self.index.search(distinct)
-        # every place of a window in the documents, with every item that has the window
-        first, count = np.searchsorted(asked, np.arange(len(distinct))), np.bincount(asked, minlength=len(distinct))
-        at, stored_at = _spread(count[number], first[number])
-        stored_at = stored[stored_at]
-        keep = doc[at] == doc[at + WINDOW - 1]
-        at, stored_at = at[keep], stored_at[keep]
-        holders = self.start[stored_at + 1] - self.start[stored_at]
-        if holders.sum() > HITS and len(docs) > 1:
-            half = len(docs) // 2
-            yield from self.search(docs[:half])
-            yield from ((half + d, i) for d, i in self.search(docs[half:]))
-            return
-        row, place = _spread(holders, self.start[stored_at])
-        case = np.sort(self.held[place] * np.int64(len(flat)) + at[row])
-        case = case[np.diff(case, prepend=-1) > 0]
-        item, at = case // len(flat), case % len(flat)
-        # places that stand in a stretch with as many windows as a piece shares
-        n, least = len(case), self.least[item]
-        last = np.arange(n) + least - 1
-        end = np.minimum(last, n - 1)
-        opens = np.flatnonzero((last < n) & (item[end] == item) & (at[end] - at < self.reach[item]) & (doc[at[end]] == doc[at]))
-        change = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(change, opens, 1)
-        np.add.at(change, end[opens] + 1, -1)
-        dense = np.cumsum(change[:-1]) > 0
-        item, at = item[dense], at[dense]
-        key = item * np.int64(len(docs)) + doc[at]
+        sums = word_sums(hashes)
+        cases = []
+        for size, place, owner, index in self.windows:
+            at = np.arange(0, len(flat) - size + 1, max(1, size // STARTS))
+            at = at[doc[at] == doc[at + size - 1]]
+            asked, stored = index.search(fingerprints(sums, at, size))
+            same = np.zeros(len(asked), dtype=np.int32)
+            at, place_of = at[asked], place[stored]
+            for drift in range(-DRIFT, DRIFT + 1):
+                here, there = np.zeros(len(asked), dtype=np.int32), np.clip(place_of + drift, 0, len(self.hashes) - size)
+                for j in range(size):
+                    here += hashes[at + j] == self.hashes[there + j]
+                np.maximum(same, here, out=same)
+            near = np.flatnonzero(same >= max(2, math.ceil(ALIGNED * size)))
+            at, k = at[near], owner[stored[near]]
+            cases.append(np.stack([doc[at], k, at - start[doc[at]] - (place_of[near] - self.start[k]), same[near]]))
+        case = np.concatenate(cases, axis=1)
+        case = case[:, np.lexsort((case[1], case[0]))]
+        key = case[0] * np.int64(len(self.passages)) + case[1]
         bounds = np.flatnonzero(np.diff(key, prepend=-1, append=-1)) if len(key) else np.empty(0, np.int64)
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            k, d = int(item[low]), int(doc[at[low]])
-            places = at[low:high] - start[d]
-            if self._holds(docs[d], k, places, prints[at[low:high]]):
-                yield d, self.items[k][0]
-
-    def _holds(self, doc: list[str], k: int, places: np.ndarray, prints: np.ndarray) -> bool:
-        """Whether ``doc`` holds a piece of item ``k``, whose windows stand at ``places``."""
-        words = self.items[k][1]
-        own, order = self.prints[k], self.order[k]
-        low = np.searchsorted(own, prints, sorter=order)
-        hit, slot = _spread(np.searchsorted(own, prints, "right", sorter=order) - low, low)
-        at, offset = places[hit], order[slot]
-        if not _may_hold(np.bincount(offset, minlength=len(own))[None] > 0, len(words))[0]:
-            return False
-        shifts, votes = np.unique(at - offset, return_counts=True)
+            d, k = int(case[0, low]), int(case[1, low])
+            shifts, slot = np.unique(case[2, low:high], return_inverse=True)
+            votes = np.bincount(slot, weights=case[3, low:high])
+            if any(self._holds(docs[d], k, s) for s in _apart(shifts[np.argsort(-votes, kind="stable")].tolist())):
+                yield from ((d, i) for i in self.passages[k][1])
+
+    def _holds(self, doc: list[str], k: int, shift: int) -> bool:
+        """``holds_piece``, told before by the number of shared word pairs where these are too few."""
+        words, pairs = self.passages[k][0], self.pairs[k]
         margin = margin_of(len(words))
-        near = (at >= shifts[:, None] - margin) & (at + WINDOW <= shifts[:, None] + len(words) + margin)
-        shared = np.zeros((len(shifts), len(own)), dtype=bool)
-        row, col = np.nonzero(near)
-        shared[row, offset[col]] = True
-        may = np.flatnonzero(_may_hold(shared, len(words)))
-        return any(holds_piece(doc, words, int(shifts[s])) for s in may[np.argsort(-votes[may], kind="stable")])
+        part = doc[max(0, shift - margin) : shift + len(words) + margin]
+        return sum(map(pairs.__contains__, zip(part, part[1:]))) >= least_pairs(len(words)) and holds_piece(doc, words, shift)
 
 
-def _may_hold(shared: np.ndarray, words: int) -> np.ndarray:
-    """For each row of an item's pairs, shared or not, whether a piece of them holds enough shared ones."""
-    m = max(2, math.ceil(SHARE * words)) - 1
-    sums = np.concatenate([np.zeros((len(shared), 1)), np.cumsum(shared - SIMILAR, axis=1)], axis=1)
-    return (sums[:, m:] - np.minimum.accumulate(sums, axis=1)[:, : sums.shape[1] - m]).max(axis=1) >= -1e-9
+def _apart(shifts: list[int]) -> Iterator[int]:
+    """Shifts in their order without those a few words beside an earlier one, which the margin covers."""
+    seen: set[int] = set()
+    for s in shifts:
+        if s not in seen:
+            seen.update(range(s - 4, s + 5))
+            yield s
 
 
 def _spread(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,20 +297,18 @@ def holds_piece(doc: list[str], item: list[str], shift: int) -> bool:
     return best >= need and best > 1
 
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of an item, whole or a third of it.
 
     NULL or empty texts and items hold nothing; a repeated row gives no second row; an item's
-    other columns and the documents' are not read. Documents never leave their partition.
+    other columns and the documents' are not read. Documents never leave their partition; they
+    are read once for every ``block`` words of passages, whose index is what is broadcast.
     """
     spark = documents.sparkSession
-    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
-    out = None
-    block: list[tuple[int, str]] = []
     docs = documents.select("doc_id", "text").filter("doc_id is not null and length(text) > 0")
 
-    def scan(index: LeakIndex) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    def scan(part: list[tuple[int, list[str]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(LeakIndex(part))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -316,13 +326,14 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         return docs.mapInPandas(run, "doc_id bigint, item_id bigint")
 
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, r.text))
-        if len(block) == BLOCK:
-            out = scan(LeakIndex(block)) if out is None else out.unionByName(scan(LeakIndex(block)))
-            block = []
-    if block or out is None:
-        out = scan(LeakIndex(block)) if out is None else out.unionByName(scan(LeakIndex(block)))
+    out, part, n = None, [], 0
+    for r in own_passages(items).orderBy("text", "item_id").toLocalIterator():
+        part.append((r.item_id, words_of([r.text])[0]))
+        n += len(part[-1][1])
+        if n >= block:
+            out, part, n = scan(part) if out is None else out.unionByName(scan(part)), [], 0
+    if part or out is None:
+        out = scan(part) if out is None else out.unionByName(scan(part))
     return out.distinct()
 
 

@@ -94,10 +94,14 @@ def prose(rng, n, tag=""):
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(3)
     stored = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    asked = np.concatenate([stored[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64)), rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    near = stored[:200].copy()
+    for _ in range(p8.RADIUS):
+        near ^= np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)
+    asked = np.concatenate([near, rng.integers(0, 2**63, 300, dtype=np.uint64)])
     at, found = p8.HammingIndex(stored).search(asked)
     want = {(i, j) for i in range(len(asked)) for j in range(len(stored)) if bin(int(asked[i]) ^ int(stored[j])).count("1") <= p8.RADIUS}
-    assert set(zip(at.tolist(), found.tolist())) == want and len(want) >= 100
+    assert set(zip(at.tolist(), found.tolist())) == want and len(want) >= 200 and len(at) == len(want)
+    assert len(p8.HammingIndex(stored[:0]).search(asked)[0]) == 0
 
 
 def test_leaks_whole_partial_and_disguised(spark):
@@ -123,36 +127,50 @@ def test_leaks_whole_partial_and_disguised(spark):
     assert p8.find_leaks(d, e.filter("false")).count() == 0 and p8.find_leaks(d.filter("false"), e).count() == 0
 
 
-def test_instructions_are_not_passages():
-    items = [(k, f"Read this now. {t} body text. Where is it?") for k, t in enumerate(("Alpha", "Beta", "Gamma", "Delta"))]
-    assert [" ".join(w) for _, w in p8.own_passages(items)] == ["alpha body text", "beta body text", "gamma body text", "delta body text"]
-    assert p8.own_passages([(1, "One only. Two only.")])[0][1] == ["one", "only", "two", "only"]
+def test_instructions_are_told_by_all_items_whatever_the_block(spark):
+    items = [(k, "z", f"Read this now. {t} body text. Where is it?") for k, t in enumerate(("Alpha", "Beta", "Gamma", "Delta"))]
+    rows = [*items, (9, "z", "One only. Two only."), (10, "z", None), (None, "z", "Nobody's."), (11, "z", ""), items[0]]
+    e = spark.createDataFrame(rows, "item_id bigint, keys string, text string")
+    passages = {r.item_id: r.text for r in p8.own_passages(e).collect()}
+    assert passages == {0: "Alpha body text.", 1: "Beta body text.", 2: "Gamma body text.", 3: "Delta body text.", 9: "One only. Two only.", 11: ""}
+    rng = random.Random(12)
+    texts = [prose(rng, 50) for _ in range(12)]
+    e = spark.createDataFrame([(k, f"Read this now. {t}.") for k, t in enumerate(texts)], "item_id bigint, text string")
+    d = spark.createDataFrame([(k, f"Read this now. {prose(rng, 20)} {t} {prose(rng, 20)}") for k, t in enumerate(texts[::2])], "doc_id bigint, text string")
+    whole = {tuple(r) for r in p8.find_leaks(d, e).collect()}
+    assert whole == {(k, 2 * k) for k in range(6)} and whole == {tuple(r) for r in p8.find_leaks(d, e, block=120).collect()}
 
 
-def test_every_piece_that_the_verifier_accepts_is_found():
+def disturbed(rng, words, every):
+    return [w if (k + 1) % every else f"autre{rng.randrange(999)}" for k, w in enumerate(words)]
+
+
+def test_recall_by_replaced_words():
+    """Thirds and wholes with every n-th word replaced: what the verifier accepts is found, nine of ten at every sixth."""
     rng = random.Random(8)
-    item, other = prose(rng, 60).split(), prose(rng, 41).split()
-    third = item[20:40]
-    third[6], third[13] = "xxx", "yyy"
-    middle = other[10:23]
-    middle[6] = "zzz"
-    short = "seul petit texte de six mots"
-    index = p8.LeakIndex([(1, " ".join(item)), (2, " ".join(other)), (3, short), (4, "un")])
-    fill = lambda n: prose(rng, n, "q").split()
-    docs = [fill(40) + third + fill(40), fill(40) + middle + fill(40), fill(9) + short.split() + fill(9), fill(90), ["un"]]
-    assert sorted(index.search(docs)) == [(0, 1), (1, 2), (2, 3)]
-
-
-def test_the_search_is_as_the_verifier_at_every_shift():
+    items = [(k, prose(rng, rng.randrange(40, 150)).split()) for k in range(150)]
+    index = p8.LeakIndex(items)
+    fill = lambda: prose(rng, rng.randrange(20, 60), "q").split()
+    for every, least in ((20, 0.99), (12, 0.97), (9, 0.95), (6, 0.9)):
+        for share in (3, 1):
+            found = accepted = 0
+            for k, words in items:
+                n = -(-len(words) // share)
+                low, lead = rng.randrange(len(words) - n + 1), fill()
+                doc = [*lead, *disturbed(rng, words[low : low + n], every), *fill()]
+                if p8.holds_piece(doc, words, len(lead) - low):
+                    accepted += 1
+                    found += (0, k) in set(index.search([doc]))
+            assert accepted > 130 and found >= least * accepted, (every, share, found, accepted)
+
+
+def test_search_is_within_the_verifier_and_finds_pieces_of_small_items():
     rng = random.Random(9)
-    items = [(k, " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(n))) for k, n in enumerate((2, 5, 9, 20, 33, 47))]
+    items = [(k, prose(rng, n).split()) for k, n in enumerate((2, 5, 9, 20, 33, 47))] + [(7, ["un"]), (8, [])]
     index = p8.LeakIndex(items)
-    docs = []
-    for _ in range(40):
-        words = rng.choice(items)[1].split()
-        low = rng.randrange(len(words))
-        piece = [w if rng.random() > 0.12 else "new" for w in words[low : low + rng.randrange(2, 25)]]
-        docs.append([*(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(rng.randrange(30))), *piece])
+    docs = [[*prose(rng, 15, "q").split(), *w[len(w) // 4 :], *prose(rng, 9, "q").split()] for _, w in items[:6]]
+    got = set(index.search(docs))
+    assert got == {(k, k) for k in range(6)}
     shifts = lambda d, w: {i - j for i in range(len(d) - 1) for j in range(len(w) - 1) if d[i : i + 2] == w[j : j + 2]}
-    want = {(k, i) for k, d in enumerate(docs) for i, (_, w) in enumerate(index.items) if any(p8.holds_piece(d, w, s) for s in shifts(d, w))}
-    assert set(index.search(docs)) == want and 20 < len(want) < 200
+    assert all(any(p8.holds_piece(docs[d], items[i][1], s) for s in shifts(docs[d], items[i][1])) for d, i in got)
+    assert list(index.search([])) == list(index.search([["un"], []])) == [] and list(p8.LeakIndex([]).search(docs)) == []
