@@ -26,6 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,20 +84,20 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def word_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the words' hash bits, a set bit as 1 and a clear one as -1 (in 16 bits, which wrap)."""
+    """Running sums of the words' hash bits, a set bit as 1 and a clear one as -1."""
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
-    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int16 if len(hashes) < 2**31 else np.int64)
+    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
     np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
     return sums
 
 
-def fingerprints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` words that start ``at``: one bit for a majority of the words."""
-    if not len(at):
+def fingerprints(sums: np.ndarray, size: int, step: int = 1) -> np.ndarray:
+    """SimHash of the windows of ``size`` words, one every ``step`` words: one bit for a majority of the words."""
+    if len(sums) <= size:
         return np.empty(0, np.uint64)
-    return np.packbits(sums[at + size] - sums[at] > 0, axis=1).view(np.uint64).ravel()
+    return np.packbits(sums[size::step] > sums[: len(sums) - size : step], axis=1).view(np.uint64).ravel()
 
 
 class HammingIndex:
@@ -116,7 +117,7 @@ class HammingIndex:
             near = self.MASKS[high - low]
             key = (own[:, None] ^ near[None]).ravel()
             self.order.append((np.argsort(key.astype(np.uint16), kind="stable") // len(near)).astype(np.int32))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << (high - low)))]))
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << (high - low)))]).astype(np.int32))
 
     @staticmethod
     def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -131,10 +132,10 @@ class HammingIndex:
             for b, (low, high) in enumerate(zip(self.EDGES, self.EDGES[1:])):
                 key = self._block(asked, low, high)
                 begin = self.start[b][key]
-                at, place = _spread(self.start[b][key + 1] - begin, begin)
-                stored = self.order[b][place]
-                near = np.flatnonzero(np.bitwise_count(asked[at] ^ self.prints[stored]) <= RADIUS)
-                ats.append(at[near] + first)
+                n = self.start[b][key + 1] - begin
+                stored = self.order[b][np.arange(n.sum(), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n - begin, n)]
+                near = np.flatnonzero(np.bitwise_count(np.repeat(asked, n) ^ self.prints[stored]) <= RADIUS)
+                ats.append(np.searchsorted(np.cumsum(n), near, "right") + first)
                 found.append(stored[near].astype(np.int64))
         both = np.unique(np.concatenate(ats) * np.int64(max(1, len(self.prints))) + np.concatenate(found))
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
@@ -212,7 +213,9 @@ class LeakIndex:
         self.windows = []
         for size, owners in sorted(sizes.items()):
             place = np.concatenate([np.arange(self.start[k], self.start[k + 1] - size + 1) for k in owners])
-            self.windows.append((size, place, np.searchsorted(self.start, place, "right") - 1, HammingIndex(fingerprints(sums, place, size))))
+            self.windows.append((size, place, np.searchsorted(self.start, place, "right") - 1, HammingIndex(fingerprints(sums, size)[place])))
+        #: the words in 16 bits, with room at both ends for drift
+        self.short = np.concatenate([np.zeros(DRIFT, np.uint16), self.hashes.astype(np.uint16), np.zeros(DRIFT, np.uint16)])
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int]]:
         """(document's position in ``docs``, item_id) of every leak."""
@@ -222,19 +225,17 @@ class LeakIndex:
         hashes = word_hashes(flat)
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         start = np.cumsum([0, *(len(d) for d in docs)])
-        sums = word_sums(hashes)
+        sums, short = word_sums(hashes), hashes.astype(np.uint16)
         cases = []
         for size, place, owner, index in self.windows:
-            at = np.arange(0, len(flat) - size + 1, max(1, size // STARTS))
-            at = at[doc[at] == doc[at + size - 1]]
-            asked, stored = index.search(fingerprints(sums, at, size))
-            same = np.zeros(len(asked), dtype=np.int32)
+            step = max(1, size // STARTS)
+            at = np.arange(0, len(flat) - size + 1, step)
+            inside = doc[at] == doc[at + size - 1]
+            at = at[inside]
+            asked, stored = index.search(fingerprints(sums, size, step)[inside])
             at, place_of = at[asked], place[stored]
-            for drift in range(-DRIFT, DRIFT + 1):
-                here, there = np.zeros(len(asked), dtype=np.int32), np.clip(place_of + drift, 0, len(self.hashes) - size)
-                for j in range(size):
-                    here += hashes[at + j] == self.hashes[there + j]
-                np.maximum(same, here, out=same)
+            here, there = sliding_window_view(short, size)[at] if len(at) else np.empty((0, size)), sliding_window_view(self.short, size + 2 * DRIFT)[place_of]
+            same = np.max([np.count_nonzero(here == there[:, d : d + size], axis=1) for d in range(2 * DRIFT + 1)], axis=0)
             near = np.flatnonzero(same >= max(2, math.ceil(ALIGNED * size)))
             at, k = at[near], owner[stored[near]]
             cases.append(np.stack([doc[at], k, at - start[doc[at]] - (place_of[near] - self.start[k]), same[near]]))
@@ -266,12 +267,6 @@ def _apart(shifts: list[int]) -> Iterator[int]:
             yield s
 
 
-def _spread(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place): the places first, first + 1 ... of every row, ``count`` of them."""
-    row = np.repeat(np.arange(len(count)), count)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count - first, count)
-
-
 def holds_piece(doc: list[str], item: list[str], shift: int) -> bool:
     """Whether ``doc`` has at least a third of ``item`` in one piece around a shift of their words.
 
