@@ -1,7 +1,7 @@
 """Alignment of two ordered editions: relational where it can be, grouped kernels where order decides.
 
 Grouped operators take one (pair, chapter) a call; a book without chapter pairs is one group,
-and a group over ``MAX_CELLS`` cells fails loudly instead of exhausting a worker.
+a kernel holds one row of its grid and bits or bytes of the rest, so two books of any length fit.
 """
 
 from __future__ import annotations
@@ -26,12 +26,6 @@ FLOOR, LEAST_SHARED, COVERAGE = 0.34, 2, 0.7
 PREFIX, OCCURRENCES, LEAST_ANCHORS = 6, 3, 4
 MARGIN, OPENING_ROWS, OPENING_CHARS, RUN = 0.38, 60, 1200, 3
 MISMATCH, LEAST_CHECKED, DIVISION = 0.25, 4, 0.8
-MAX_CELLS = 50_000_000
-
-
-def _bounded(n: int, m: int) -> None:
-    if n * m > MAX_CELLS:
-        raise ValueError(f"{n} x {m} paragraphs in one group: pair the chapters first")
 
 
 # --- joins --------------------------------------------------------------------------------
@@ -123,6 +117,21 @@ def opening_cut(pairs: DataFrame) -> DataFrame:
     return runs.groupBy("group").agg(F.min("at").alias("at")).select("group", "at.l", "at.r")
 
 
+def opening_matter(scores: DataFrame, chars: DataFrame, margin: float = MARGIN, most: float = MISMATCH) -> DataFrame:
+    """(group, l, r): how many paragraphs of either side stand before two editions first run together.
+
+    ``scores`` (group, l, r, score) is the grid of both sides' openings, ``chars`` (group, side, pos,
+    chars) the lengths of both bodies, side 'l' or 'r'. Agreements lie ``margin`` over the grid's
+    median; a drop of over a quarter of its side's text is none. A group without a run has no row.
+    """
+    floor = scores.groupBy("group").agg((F.median("score") + margin).alias("floor"))
+    start = opening_cut(mutual_best(scores.join(floor, "group"), F.col("floor")))
+    sides = start.select("group", F.explode(F.create_map(F.lit("l"), F.col("l"), F.lit("r"), F.col("r"))).alias("side", "at"))
+    share = chars.join(sides, ["group", "side"]).groupBy("group", "side", "at").agg(F.sum(F.when(F.col("pos") < F.col("at"), F.col("chars")).otherwise(0)).alias("before"), F.sum("chars").alias("all"))
+    held = share.select("group", "side", F.when(F.col("before") <= F.col("all") * most, F.col("at")).otherwise(0).alias("at"))
+    return held.groupBy("group").agg(F.max(F.when(F.col("side") == "l", F.col("at"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("at"))).alias("r")).na.fill(0, ["l", "r"])
+
+
 def numbering_check(scores: DataFrame) -> DataFrame:
     """(group, checked, wrong, trusted): whether pairing by number holds: a pair is wrong if a neighbour scores higher.
 
@@ -173,6 +182,11 @@ def _both(left: DataFrame, right: DataFrame, keep: list[str]) -> tuple:
     return _fresh(left.select("group", "pos", *keep)).groupBy("group"), _fresh(right.select("group", "pos", *keep)).groupBy("group")
 
 
+def _grid(cells: pd.DataFrame, size: pd.DataFrame, rows: str, columns: str) -> kn.Grid:
+    """The grid of one group from its sparse cells."""
+    return kn.Grid(int(size["n"].iloc[0]), int(size["m"].iloc[0]), cells[rows].to_numpy(int), cells[columns].to_numpy(int), cells["score"].to_numpy(float))
+
+
 def align_scores(scores: DataFrame, sizes: DataFrame, floor: float | None = None) -> DataFrame:
     """(group, r, l): the left paragraph each right one takes, in order, with the greatest total.
 
@@ -184,13 +198,8 @@ def align_scores(scores: DataFrame, sizes: DataFrame, floor: float | None = None
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
             return _rows({"group": [], "r": [], "l": []})
-        n, m, group = int(size["n"].iloc[0]), int(size["m"].iloc[0]), size["group"].iloc[0]
-        _bounded(n, m)
-        s = np.zeros((n, m))
-        s[cells["r"].to_numpy(int), cells["l"].to_numpy(int)] = cells["score"].to_numpy(float)
-        took = kn.monotone_match(s if floor is None else np.maximum(s, floor))
-        weak = took < 0 if floor is None else (took < 0) | (s[np.arange(n), np.maximum(took, 0)] < floor) if m else np.ones(n, bool)
-        return _rows({"group": group, "r": np.arange(n), "l": pd.array([None if w else int(t) for w, t in zip(weak, took)], dtype="Int64")})
+        took = kn.monotone_match(_grid(cells, size, "r", "l"), floor)
+        return _rows({"group": size["group"].iloc[0], "r": np.arange(len(took)), "l": pd.array([None if t < 0 else int(t) for t in took], dtype="Int64")})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, r bigint, l bigint"
     return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
@@ -213,10 +222,7 @@ def content_pairs(scores: DataFrame, sizes: DataFrame) -> DataFrame:
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
             return _rows({"group": [], "l": [], "r": []})
-        s = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
-        _bounded(*s.shape)
-        s[cells["l"].to_numpy(int), cells["r"].to_numpy(int)] = cells["score"].to_numpy(float)
-        found = kn.pair_sequences(s)
+        found = kn.pair_sequences(_grid(cells, size, "l", "r"))
         return _rows({"group": size["group"].iloc[0], "l": [a for a, _ in found], "r": [b for _, b in found]})
 
     schema = f"group {scores.schema['group'].dataType.simpleString()}, l bigint, r bigint"
@@ -229,10 +235,7 @@ def nearest_in_order(scores: DataFrame, sizes: DataFrame, margin: float = MARGIN
     def run(cells: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
         if not len(size):
             return _rows({"group": [], "l": [], "r": []})
-        s = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
-        _bounded(*s.shape)
-        s[cells["l"].to_numpy(int), cells["r"].to_numpy(int)] = cells["score"].to_numpy(float)
-        took = kn.nearest_forward(s, margin)
+        took = kn.nearest_forward(_grid(cells, size, "l", "r"), margin)
         rows = np.flatnonzero(took >= 0)
         return _rows({"group": size["group"].iloc[0], "l": rows, "r": took[rows]})
 
@@ -240,6 +243,17 @@ def nearest_in_order(scores: DataFrame, sizes: DataFrame, margin: float = MARGIN
     return _fresh(scores).groupBy("group").cogroup(_fresh(sizes).groupBy("group")).applyInPandas(run, schema)
 
 
+def shared_spans(sizes: DataFrame) -> DataFrame:
+    """(book, i, first, stop): which of its ``m`` units each of a book's ``n`` paragraphs takes, in proportion."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(b, i, *span) for b, n, m in zip(batch["book"], batch["n"], batch["m"]) if m for i, span in enumerate(kn.share_out(int(n), int(m)))]
+            yield pd.DataFrame(rows, columns=["book", "i", "first", "stop"], dtype=None if rows else object)
+
+    return sizes.select("book", "n", "m").mapInPandas(run, f"book {sizes.schema['book'].dataType.simpleString()}, i bigint, first bigint, stop bigint")
+
+
 def place_texts(left: DataFrame, right: DataFrame, spread: Callable[[list[str], list[str]], list[str]] = kn.match_by_length) -> DataFrame:
     """(group, pos, value): one right text for each left paragraph, by a kernel of two lists (a table function).
 
@@ -249,7 +263,6 @@ def place_texts(left: DataFrame, right: DataFrame, spread: Callable[[list[str],
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pos"), b.sort_values("pos")
-        _bounded(len(a), len(b))
         value = spread(a["text"].tolist(), b["text"].tolist()) if len(a) else []
         return _rows({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": value})
 
@@ -270,7 +283,6 @@ def anchored_texts(left: DataFrame, right: DataFrame, anchors: DataFrame) -> Dat
         if not len(a) or not len(b) or a["pins"].iloc[0] is None:
             return _rows({"group": [], "pos": [], "value": []})
         a, b = a.sort_values("pos"), b.sort_values("pos")
-        _bounded(len(a), len(b))
         found = [(int(p["l"]), int(p["r"])) for p in a["pins"].iloc[0]]
         return _rows({"group": a["group"].tolist(), "pos": a["pos"].tolist(), "value": kn.fill_between(a["text"].tolist(), b["text"].tolist(), found)})
 

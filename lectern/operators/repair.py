@@ -20,7 +20,7 @@ from lectern.functions.text import BLANK, is_blank, rstrip, squeeze, strip, uppe
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 PAGE_MARK = r"(?i)\[\s*(?:pg|page)\.?\s*[ivxlcdm\d]+\s*\]"
 SENTENCE_END, SENTENCE_START = r"[.!?…][\"”»’']?$", r"^[\"“«‘(]?[A-ZÀ-Þ]"
-CLOSED = r"[.!?:;…][\"”»’')]*$"
+CLOSED = r"[.!?…:;—–][\"”»’')\]]?$"
 OPENED = r"^(?:[—–]\s|[\"“«'(]?[A-ZÀ-Þ])"
 SHORT_LINE, UNBROKEN_BLOCK, LINE_BLOCK, LINE_BLOCK_SHARE, ENOUGH_BLOCKS, LINE_BLOCK_CLOSES = 0.8, 2000, 200, 0.9, 20, 0.4
 INDENT_SHARE, HEADING_LINE = 0.1, 0.5

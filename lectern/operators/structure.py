@@ -22,6 +22,8 @@ LEAST_TEXT, LONGEST_NUMERAL, RESTART_GAP, LONGEST_TITLE, LONGEST_DATE = 10, 12,
 WEEKDAYS = "lundi mardi mercredi jeudi vendredi samedi dimanche monday tuesday wednesday thursday friday saturday sunday".split()
 BLOCK_LIMIT = 6000
 MARK = "\u0001"
+#: Fixed value: where one speaker's sentence has closed and a dash opens the next one's.
+SPEECH_DASH = r"(?<=[.!?;…»\"])\s+[—–]\s+"
 
 
 # --- sentences and speech ---------------------------------------------------------------
@@ -41,8 +43,8 @@ def speech_pieces(text: Column) -> Column:
 
 
 def dash_speech(text: Column) -> Column:
-    """Paragraphs of dialogue parted at a dash behind a sentence end."""
-    return F.filter(F.split(F.regexp_replace(text, r"(?<=[.!?…»])\s+(?=[—–]\s)", MARK), MARK), lambda x: ~is_blank(x))
+    """Paragraphs of dialogue parted at a dash behind a sentence that has closed; the dash goes."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, SPEECH_DASH, MARK), MARK), strip), lambda x: x != "")
 
 
 def flat(paragraphs: DataFrame, book: str = "doc", limit: int = BLOCK_LIMIT) -> DataFrame:
@@ -54,48 +56,38 @@ def flat(paragraphs: DataFrame, book: str = "doc", limit: int = BLOCK_LIMIT) ->
 # --- number words -----------------------------------------------------------------------
 
 CONNECTORS = ("et", "and")
+NUMBER_WORD = re.compile(r"[a-zàâäçéèêëîïôùûœ]+")
 
 
 def cardinal_value(words: list[str]) -> int | None:
-    """The value of a run of number words: tens add up, ``quatre`` before ``vingt`` multiplies, cent and mille scale."""
-    scales = {"cent": 100, "cents": 100, "hundred": 100, "mille": 1000, "thousand": 1000}
+    """The value of a run of number words, as ``word_value`` of an array; None if one of them is no number."""
     total = part = 0
-    seen = False
-    for k, w in enumerate(words):
-        if w in CONNECTORS:
-            continue
-        if w in scales:
-            part = max(part, 1) * scales[w]
-            if scales[w] == 1000:
-                total, part = total + part, 0
-        elif w in ("vingt", "vingts") and k and words[k - 1] == "quatre":
-            part += 76
-        elif w in CARDINALS:
-            part += CARDINALS[w]
-        else:
+    for before, w in zip(["", *words], words):
+        value = CARDINALS.get("zero" if w == "zéro" else w)
+        if value is None:
             return None
-        seen = True
-    return total + part if seen else None
+        if value >= 1000:
+            total, part = total + max(part, 1) * value, 0
+        elif value == 100:
+            part = max(part, 1) * value
+        else:
+            part += 76 if before == "quatre" and w in ("vingt", "vingts") else value
+    return total + part if words else None
 
 
 def number_tokens(text: str | None) -> list[str]:
-    """``num<value>`` of every run of number words and every figure in a text, once each."""
-    known = set(CARDINALS) | {"cent", "cents", "hundred", "mille", "thousand", "dix", "six", "trente"}
-    out, run = [], []
-    for w in [*re.findall(r"[^\W_]+", (text or "").lower()), ""]:
-        if w in known or (run and w in CONNECTORS):
+    """``num<value>`` of every run of number words in a text, once each; ``et`` and ``and`` hold a run open.
+
+    Figures are tokens already and give none here; zero gives none.
+    """
+    found, run = set(), []
+    for w in [*NUMBER_WORD.findall((text or "").lower()), ""]:
+        if w in CARDINALS or w == "zéro":
             run.append(w)
-            continue
-        while run and run[-1] in CONNECTORS:
-            run.pop()
-        if run and (len(run) > 1 or run[0] not in ("un", "une", "one")):
-            value = cardinal_value(run)
-            if value:
-                out.append(f"num{value}")
-        run = []
-        if w.isdigit():
-            out.append(f"num{int(w)}")
-    return sorted(set(out))
+        elif run and w not in CONNECTORS:
+            found.add(cardinal_value(run))
+            run = []
+    return sorted(f"num{v}" for v in found if v)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -10,6 +10,7 @@ from lectern.functions.text import content_hash as h
 from lectern.functions.text import dot
 from lectern.operators import align as al
 from lectern.operators import kernels as kn
+from lectern.operators import merge as mg
 from lectern.operators.structure import number_tokens_udf
 from lectern.plans.registry import Registry, sql_hash
 from lectern.plans.structure_queries import sql_num
@@ -178,6 +179,23 @@ def j9(spark, d):
     return al.opening_cut(al.mutual_best(grid(spark, d)[0], 150000))
 
 
+@reg.add(
+    "j9_opening_matter",
+    MUTUAL.replace("150000", "(select median(s) + 100000 from grid x where x.g = k.g)")
+    + """, o as (select g, l, r, l - lag(l) over w as dl, r - lag(r) over w as dr from mutual window w as (partition by g order by l, r)),
+    n as (select *, sum(case when dl > 0 and dr > 0 and least(dl, dr) = 1 then 0 else 1 end) over (partition by g order by l, r) as run from o),
+    cut as (select g, first[1] as l, first[2] as r from (select g, min(start) as first from (select g, run, min((l, r)) as start from n group by all having count(*) >= 3) group by g)),
+    held as (select v.label as g, v.side, case when sum(case when v.pos < case when v.side = 0 then c.l else c.r end then 10 + v.pos % 7 else 0 end) <= sum(10 + v.pos % 7) * 0.25 then any_value(case when v.side = 0 then c.l else c.r end) else 0 end as held_at from v join cut c on c.g = v.label group by v.label, v.side)
+    select g as "group", coalesce(max(case when side = 0 then held_at end), 0) as l, coalesce(max(case when side = 1 then held_at end), 0) as r from held group by g""",
+)
+def j9_matter(spark, d):
+    """What stands before two editions first run together: agreements over the grid's own median, drops held to a quarter."""
+    g, sizes = grid(spark, d)
+    n = sizes.select("group", F.explode(F.create_map(F.lit("l"), F.col("n"), F.lit("r"), F.col("m"))).alias("side", "k"))
+    chars = n.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select("group", "side", "pos", (10 + F.col("pos") % 7).alias("chars"))
+    return al.opening_matter(g, chars, margin=100_000)
+
+
 @reg.add("j10_content_pairs")
 def j10(spark, d):
     """Groups' rows paired one to one in order by content (an LCS-shaped program; tested by brute force)."""
@@ -237,12 +255,8 @@ def j15(spark, d):
 def j16(spark, d):
     """Chapters of one edition shared out over the other's in proportion: integer slices."""
     left, right = both_chapters(spark, d)
-    n = left.groupBy("book").agg(F.count("*").alias("f")).join(right.groupBy("book").agg(F.count("*").alias("p")), "book")
-    rows = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("f") - 1)))
-    first = F.least(F.expr("i * p div f"), F.col("p") - 1)
-    stop = F.least(F.greatest(first + 1, F.expr("(i + 1) * p div f")), F.col("p"))
-    same = F.col("f") == F.col("p")
-    return rows.select("book", "i", F.when(same, F.col("i")).otherwise(first).alias("first"), F.when(same, F.col("i") + 1).otherwise(stop).alias("stop"))
+    n = left.groupBy("book").agg(F.count("*").alias("n")).join(right.groupBy("book").agg(F.count("*").alias("m")), "book")
+    return al.shared_spans(n)
 
 
 def chapter_groups(spark, d):
@@ -280,8 +294,9 @@ def j22(spark, d):
 def j26(spark, d):
     """Rows joined with what has not expired at a moment."""
     s = table(spark, d, "shelf_change")
-    live = s.groupBy("book_id").agg(F.max("received_at").alias("until")).filter(F.col("until") > F.lit("2023-06-01").cast("timestamp_ntz"))
-    return s.join(live, "book_id").filter("received_at <= until").select("account_id", "book_id").distinct()
+    sessions = s.groupBy("book_id").agg(F.max("received_at").alias("expires_at"))
+    live = mg.live_sessions(sessions, F.lit("2023-06-01").cast("timestamp_ntz"))
+    return s.join(live, "book_id").filter("received_at <= expires_at").select("account_id", "book_id").distinct()
 
 
 @reg.add("j27_not_cached", f"select sent_id from sentence s anti join unit u on u.h = {sql_hash('s.text')}")

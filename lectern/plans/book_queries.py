@@ -55,7 +55,8 @@ def s7(spark, d):
 def s8(spark, d):
     """Bytes a character, with sizes put in for the files that the tables lack."""
     e = table(spark, d, "edition").filter("chars is not null")
-    return e.select("edition_id", F.when(F.col("chars") > 0, F.col("chars") * (1 + F.col("edition_id") % 40) / F.col("chars") > fl.BYTES_PER_CHAR).alias("scanned"))
+    text = F.repeat(F.lit("x"), F.col("chars").cast("int"))
+    return e.select("edition_id", fl.looks_scanned(F.col("chars") * (1 + F.col("edition_id") % 40), text).alias("scanned"))
 
 
 @reg.add("s9_parse_pages")
@@ -85,7 +86,17 @@ def s13(spark, d):
     return b.select("edition_id", lb.credit(page, "title").alias("title"), lb.credit(page, "author").alias("author"), lb.header_title(page).alias("header"))
 
 
-@reg.add("s10_resolve_works")
+@reg.add(
+    "s10_resolve_works",
+    """with l as (select work, target, min(pos) as pos from (select replace(work_page, '_', ' ') as work, unnest(range(len(pages))) as pos, replace(unnest(pages), '_', ' ') as target from resolved) where work is not null and target is not null group by 1, 2),
+    works as (select distinct work from l), sub as (select * from l where starts_with(target, work || '/')), own as (select work as page, count(*) as n, work as home from sub group by 1),
+    c1 as (select l.work, o.n, o.home, row_number() over (partition by l.work order by o.n desc, l.pos, l.target desc) as k from l join own o on o.page = l.target),
+    b1 as (select * from own union all select work, n, home from c1 where k = 1 and work not in (select page from own)),
+    c2 as (select l.work, o.n, o.home, row_number() over (partition by l.work order by o.n desc, l.pos, l.target desc) as k from l join b1 o on o.page = l.target),
+    b2 as (select * from own union all select work, n, home from c2 where k = 1 and work not in (select page from own)),
+    chosen as (select w.work, case when b.home = w.work then 'chapters' when b.home is not null then 'edition' else 'single' end as shape, coalesce(b.home, w.work) as home from works w left join b2 b on b.page = w.work)
+    select c.work, shape, coalesce(s.target, c.home) as page, coalesce(s.pos, 0) as pos from chosen c left join sub s on s.work = c.home""",
+)
 def s10(spark, d):
     """Works of the resolved pages with their sub-pages, through links one and two steps off."""
     r = table(spark, d, "resolved")
@@ -542,8 +553,7 @@ def c7(spark, d):
 
 @reg.add("c10_shelf_lookup", "select edition_id, slug from edition where contains(lower(slug), 'poire') or contains(lower(coalesce(translator, '')), 'mar')")
 def c10(spark, d):
-    e = table(spark, d, "edition")
-    return e.filter(F.lower("slug").contains("poire") | F.lower(F.coalesce("translator", F.lit(""))).contains("mar")).select("edition_id", "slug")
+    return rd.shelf_lookup(table(spark, d, "edition"), {"slug": "poire", "translator": "mar"}).select("edition_id", "slug")
 
 
 @reg.add("c11_probe_pair", f"with {CHAPTERS}, a as (select book, count(*) as n from lc group by 1), b as (select book, count(*) as m from rc group by 1) select book, n, m, least(n, m) >= 0.8 * greatest(n, m) as alike from a join b using (book)")

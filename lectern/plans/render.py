@@ -103,6 +103,14 @@ def edition_summary(editions: DataFrame, chapters: DataFrame) -> DataFrame:
     return editions.join(n, "edition_id", "left").select("edition_id", F.coalesce("c", "chapters").cast("bigint").alias("chapters"), F.coalesce("p", "paragraphs").cast("bigint").alias("paragraphs"), F.coalesce("k", "chars").cast("bigint").alias("chars"))
 
 
+def shelf_lookup(editions: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Editions of which any named column holds its words, whatever the case; NULL holds none."""
+    hit = F.lit(False)
+    for column, words in wanted.items():
+        hit = hit | F.lower(F.coalesce(F.col(column), F.lit(""))).contains(words.lower())
+    return editions.filter(hit)
+
+
 def probe_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     """(book, n, m, alike): page counts of two resolved sides without their chapters."""
     a, b = left.groupBy("book").agg(F.count("*").alias("n")), right.groupBy("book").agg(F.count("*").alias("m"))

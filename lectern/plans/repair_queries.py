@@ -113,7 +113,7 @@ BLOCKS = "b as (select doc, list_filter(list_transform(string_split(regexp_repla
     "r5_r7_layout",
     rf"""with {BOOK}, {BLOCKS}, s as (select *, list_filter(b, lambda x: not contains(x, chr(10))) as single from b),
     v as (select doc, coalesce(l[floor(len(l) * 0.9)::int + 1], 0) as measure, len(b) as n_blocks, list_sort(list_transform(b, lambda x: length(x)))[len(b) // 2 + 1] as block_median,
-      list_sort(list_transform(single, lambda x: length(x)))[len(single) // 2 + 1] as typical, len(list_filter(single, lambda x: regexp_matches(x, '[.!?:;…]["”»’'')]*$'))) as closing, len(single) as k from s)
+      list_sort(list_transform(single, lambda x: length(x)))[len(single) // 2 + 1] as typical, len(list_filter(single, lambda x: regexp_matches(x, '[.!?…:;—–]["”»’'')\]]?$'))) as closing, len(single) as k from s)
     select doc, measure, n_blocks, block_median, coalesce(block_median > 2000, false) as never_broke,
       coalesce(n_blocks >= 20 and k >= n_blocks * 0.9 and typical <= 200 and typical >= measure * 0.8 and closing < k * 0.4, false) as broke_every_line from v""",
 )
@@ -156,8 +156,8 @@ def r9(spark, d):
     a as (select *, coalesce(lag(line) over (partition by doc order by line_no), '') as raw_above from lines),
     w as (select doc, line_no, line, {sql_strip('line')} as here, not regexp_matches(raw_above, '[^\s\p{{Z}}]') as above_blank, lag(line) over (partition by doc order by line_no) as last, coalesce(lead(line) over (partition by doc order by line_no), '') as nxt from a where regexp_matches(line, '[^\s\p{{Z}}]')),
     z as (select *, {sql_strip('last')} as above, length(line) - length(ltrim(line, ' ')) as ind, length(nxt) - length(ltrim(nxt, ' ')) as nind from w join marks using (doc) join m using (doc) where mark > 0)
-    select doc, line_no from z where last is not null and ((ind >= mark and (regexp_matches(above, '[.!?:;…]["”»’'')]*$') or regexp_matches(here, '^(?:[—–]\s|["“«''(]?[A-ZÀ-Þ])')))
-      or (ind < mark and measure > 0 and length(here) < measure * 0.5 and regexp_matches(here, '[.!?:;…]["”»’'')]*$') and nxt <> '' and nind >= mark and (above_blank or regexp_matches(above, '[.!?:;…]["”»’'')]*$'))))""",
+    select doc, line_no from z where last is not null and ((ind >= mark and (regexp_matches(above, '[.!?…:;—–]["”»’'')\]]?$') or regexp_matches(here, '^(?:[—–]\s|["“«''(]?[A-ZÀ-Þ])')))
+      or (ind < mark and measure > 0 and length(here) < measure * 0.5 and regexp_matches(here, '[.!?…:;—–]["”»’'')\]]?$') and nxt <> '' and nind >= mark and (above_blank or regexp_matches(above, '[.!?…:;—–]["”»’'')\]]?$'))))""",
 )
 def r10(spark, d):
     return rp.split_on_indent(indented(spark, d)).filter("starts").select("doc", F.col("line_no").cast("bigint").alias("line_no"))

@@ -38,6 +38,29 @@ def g1(spark, d):
     return table(spark, d, "chapter").filter("number_token is not null").select("chapter_id", chapter_number(F.col("number_token")).cast("bigint").alias("num"))
 
 
+#: Compound ordinals of the two languages, one for each chapter, and what they are worth.
+SPELLED = {
+    "fr": (["vingt", "trente", "quarante", "cinquante"], ["unième", "deuxième", "troisieme", "quatrième", "cinquieme", "sixième", "septième", "huitième", "neuvième"]),
+    "en": (["twenty", "thirty", "forty", "fifty"], ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth"]),
+}
+
+
+@reg.add(
+    "g1_spelled_numbers",
+    "with n as (select chapter_id, chapter_id % 4 as t, (chapter_id // 4) % 9 as u from chapter where chapter_id is not null), k as (select *, unnest(['fr', 'en', 'hundreds']) as kind from n) "
+    "select chapter_id, kind, case when kind = 'hundreds' then 100 * (t + 2) + 20 + 10 * t + 1 + u else 20 + 10 * t + 1 + u end as num from k",
+)
+def g1_spelled(spark, d):
+    """Compound ordinals and cardinals over a hundred, read back; the SQL knows the numbers they were made of."""
+    c = table(spark, d, "chapter").filter("chapter_id is not null").select("chapter_id", (F.col("chapter_id") % 4 + 1).cast("int").alias("t"), ((F.col("chapter_id") / 4).cast("bigint") % 9 + 1).cast("int").alias("u"))
+    part = lambda words, k: F.element_at(F.array(*map(F.lit, words)), k)
+    token = {k: F.concat(F.lit("Chapter " if k == "en" else "chapitre "), part(tens, F.col("t")), F.lit("-"), part(units, F.col("u"))) for k, (tens, units) in SPELLED.items()}
+    ones = part(["un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"], F.col("u"))
+    token["hundreds"] = F.concat_ws(" ", part(["deux", "trois", "quatre", "cinq"], F.col("t")), F.lit("cents"), part(SPELLED["fr"][0], F.col("t")), F.lit("et"), ones)
+    rows = c.select("chapter_id", F.explode(F.create_map(*[x for k, v in token.items() for x in (F.lit(k), v)])).alias("kind", "token"))
+    return rows.select("chapter_id", "kind", chapter_number(F.col("token")).cast("bigint").alias("num"))
+
+
 @reg.add("g2_roman", "select distinct c_custkey as n, c_custkey as back, length(regexp_replace(c_custkey::varchar, '', '')) > 0 as written from customer where c_custkey between 1 and 3999")
 def g2(spark, d):
     """Roman numerals written and read back."""
@@ -154,7 +177,7 @@ def g14(spark, d):
     return p.select("doc", "pos", F.size("s").alias("n"), h(F.array_join("s", "\n")).alias("h"))
 
 
-@reg.add("g23_dash_speech", rf"with {PARAS}, s as (select doc, pos, list_filter(string_split(regexp_replace(text, '([.!?…»])\s+([—–]\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) as s from paras) select doc, pos, len(s) as n, {sql_hash('array_to_string(s, chr(10))')} as h from s")
+@reg.add("g23_dash_speech", rf"""with {PARAS}, s as (select doc, pos, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;…»"])\s+[—–]\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') as s from paras) select doc, pos, len(s) as n, {sql_hash('array_to_string(s, chr(10))')} as h from s""")
 def g23(spark, d):
     p = paras(spark, d).select("doc", F.col("pos").cast("bigint").alias("pos"), st.dash_speech(F.col("text")).alias("s"))
     return p.select("doc", "pos", F.size("s").cast("bigint").alias("n"), h(F.array_join("s", "\n")).alias("h"))

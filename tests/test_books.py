@@ -220,3 +220,24 @@ def test_absorb_query_covers_every_sentence(spark, tmp_path):
     rows = bq.queries()["n7_n8_absorb"](spark, str(tmp_path)).collect()
     assert sorted(r.n for r in rows) == [2 + k for k in range(30)]
     assert {r.n for r in rows if r.how == "rescued"} == {len(t.split()) for t in texts.values() if len(t) > 80}
+
+
+def test_works_are_resolved_through_several_links(spark):
+    links = spark.createDataFrame([("A", "B", 0), ("B", "C", 0), ("C", "C/1", 0), ("C", "C/2", 1), ("D", "E", 0), ("F", "A", 0), ("A", "B", 0)], "work string, target string, pos int")
+    works = spark.createDataFrame([(x,) for x in "ABCDF"], "work string")
+    got = {}
+    for r in lb.resolve_work(works, links).collect():
+        got.setdefault((r.work, r.shape), []).append(r.page)
+    assert {k: sorted(v) for k, v in got.items()} == {("A", "edition"): ["C/1", "C/2"], ("B", "edition"): ["C/1", "C/2"], ("C", "chapters"): ["C/1", "C/2"], ("D", "single"): ["D"], ("F", "single"): ["F"]}
+    assert ("F", "edition") in {(r.work, r.shape) for r in lb.resolve_work(works, links, depth=3).collect()}
+
+
+def test_a_centred_heading_is_lifted_out():
+    body = "<p>It was a long and quiet voyage over the northern sea.</p>"
+    page = '<div class="wst-center"><p>VOLUME ONE</p></div><p class="wst-center">CHAPTER XIII THE BLACK RIVER</p>' + body
+    title, found = lb.parse_page(page)
+    assert title == "THE BLACK RIVER" and found == ["It was a long and quiet voyage over the northern sea."]
+    plain = "<p>CHAPTER XI was the best of them, said everybody.</p>" + body
+    assert lb.parse_page(plain)[0] is None and len(lb.parse_page(plain)[1]) == 2
+    stated = '<i data=\'{"current":{"wt":"[[Book/2|The {{sc|Long}} Voyage Home]]"}}\'></i><p>The long voyage home and more.</p>' + body
+    assert lb.parse_page(stated) == ("The Long Voyage Home", ["It was a long and quiet voyage over the northern sea."])
