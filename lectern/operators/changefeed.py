@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import table, work_path
+from lectern.session import Commits, table, work_path, written_over
 
 HAS_OFFSET = r"(?i)(Z|[+-]\d{2}:?\d{2})\s*$"
 
@@ -38,26 +38,53 @@ class DeleteVectorTable:
 
     ``keys`` name the key columns (none may be NULL), ``order`` the columns that rank the
     images of a key, greatest last. An image that is not above the live one is dropped, so
-    commits may be late, repeated or empty.
+    commits may be late, repeated or empty. The table lives in ``path``: a second instance goes
+    on where the first one stopped, and a commit that failed is written over by the next try.
+    The index lies in ``buckets`` by key hash; a commit reads only the buckets of its own keys.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]):
-        self.spark, self.path, self.keys, self.order, self.commits = spark, path, list(keys), list(order), 0
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 16):
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, list(keys), list(order), buckets
+        self.done = Commits(spark, path)
 
-    def _key(self) -> Column:
-        return F.xxhash64(*self.keys)
+    @property
+    def commits(self) -> int:
+        return len(self.done)
 
     def _parts(self, kind: str) -> list[str]:
         return [f"{self.path}/{kind}/{n:06d}" for n in range(self.commits)]
 
-    def apply(self, images: DataFrame) -> None:
-        """Commit images: supersede, then append. Columns of ``images`` must stay the same over commits."""
+    def _bucket(self, keys: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def _put(self, rows: DataFrame, kind: str, keys: Sequence[str]) -> None:
+        """Write a commit's rows by bucket; rows of another try of the same commit go."""
+        rows = rows.withColumn("bucket", self._bucket(keys)).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/commit={self.commits}")
+
+    def _held(self, rows: DataFrame, kind: str, keys: Sequence[str], columns: Sequence[str], more: str = "") -> DataFrame:
+        """The committed rows of a kind in the buckets that the keys of ``rows`` fall into (at most ``buckets``)."""
+        touched = [r.b for r in rows.select(self._bucket(keys).alias("b")).distinct().collect()]
+        schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + [more] * bool(more) + ["commit int", "bucket int"])
+        stored = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
+        return stored.filter((F.col("commit") < self.commits) & F.col("bucket").isin(*touched))
+
+    def unseen(self, rows: DataFrame, ident: str) -> DataFrame:
+        """``rows`` without those whose ``ident`` an earlier commit recorded."""
+        return rows.join(self._held(rows, "seen", [ident], [ident]).select(ident), ident, "left_anti") if self.commits else rows
+
+    def apply(self, images: DataFrame, seen: DataFrame | None = None, label: str = "") -> None:
+        """Commit images: supersede, then append. Columns of ``images`` must stay the same over commits.
+
+        ``seen``, one column of ids, is recorded with the commit for ``unseen``.
+        """
         rest = [c for c in images.columns if c not in (*self.keys, *self.order)]
         best = F.max(F.struct(*self.order, *rest)).alias("i")
         new = images.groupBy(*self.keys).agg(best).select(*self.keys, *[F.col("i")[c].alias(c) for c in (*self.order, *rest)])
         here = f"{self.commits:06d}"
         if self.commits:
-            held = self.spark.read.parquet(*self._parts("index"))
+            new = written_over(new, f"{self.path}/new")
+            held = self._held(new, "index", self.keys, [*self.keys, *self.order], "file string, pos bigint")
             held = held.groupBy(*self.keys).agg(F.max(F.struct(*self.order, "file", "pos")).alias("held"))
             new = new.join(held, self.keys, "left")
             above = F.struct(*[F.col(c) for c in self.order]) > F.struct(*[F.col("held")[c].alias(c) for c in self.order])
@@ -65,14 +92,16 @@ class DeleteVectorTable:
             new = new.withColumns({"old_file": F.col("held.file"), "old_pos": F.col("held.pos")}).drop("held")
         else:
             new = new.withColumns({"old_file": F.lit(None).cast("string"), "old_pos": F.lit(None).cast("bigint")})
-        new.write.parquet(f"{self.path}/data/{here}")
+        new.write.mode("overwrite").parquet(f"{self.path}/data/{here}")
         added = self.spark.read.parquet(f"{self.path}/data/{here}")
         at = F.concat_ws("/", F.lit(here), F.col("_metadata.file_name"))
-        added.select(*self.keys, *self.order, at.alias("file"), F.col("_metadata.row_index").alias("pos")).write.parquet(f"{self.path}/index/{here}")
+        self._put(added.select(*self.keys, *self.order, at.alias("file"), F.col("_metadata.row_index").alias("pos")), "index", self.keys)
         gone = added.filter(F.col("old_file").isNotNull()).select(F.col("old_file").alias("file"), (F.col("old_pos") + 1).alias("n"))
         bits = gone.groupBy("file", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
-        bits.write.parquet(f"{self.path}/gone/{here}")
-        self.commits += 1
+        bits.write.mode("overwrite").parquet(f"{self.path}/gone/{here}")
+        if seen is not None:
+            self._put(seen, "seen", seen.columns)
+        self.done.mark(label)
 
     def vectors(self) -> DataFrame:
         """(file, bucket, bits): the deleted rows of each file in buckets of 32768 rows."""
@@ -126,29 +155,33 @@ def apply_feed(changes: DataFrame, commits: int = 3) -> DataFrame:
     Repeated deliveries count once, at the first arrival, also over commits; rows without
     change_id can't be told apart and are left out. An empty feed gives an empty shelf.
     """
-    spark = changes.sparkSession
     changes = changes.filter(F.col("change_id").isNotNull())
-    path = work_path(spark, "shelf")
-    store = DeleteVectorTable(spark, path, ["kind", "account_id", "book_id", "h"], ["at", "arrival"])
+    store = DeleteVectorTable(changes.sparkSession, work_path(changes.sparkSession, "shelf"), ["kind", "account_id", "book_id", "h"], ["at", "arrival"])
     cuts = changes.approxQuantile("arrival", [k / commits for k in range(1, commits)], 0.01) if commits > 1 else []
     bounds = [None, *sorted(set(cuts)), None]
-    seen: list[str] = []
-    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
+    for low, high in zip(bounds, bounds[1:]):
         part = changes
         if low is not None:
             part = part.filter(F.col("arrival") > low)
         if high is not None:
             part = part.filter(F.col("arrival") <= high)
-        part = first_deliveries(part)
-        if seen:
-            part = part.join(spark.read.parquet(*seen), "change_id", "left_anti")
-        if high is not None:
-            seen.append(f"{path}/seen/{n:06d}")
-            part.select("change_id").write.parquet(seen[-1])
-        store.apply(shelf_images(part))
+        deliver(store, part)
     return shelf_state(store.read())
 
 
+def deliver(store: DeleteVectorTable, changes: DataFrame, label: str = "") -> None:
+    """Commit shelf changes to a store, each change_id once over all commits: at its first arrival.
+
+    A label that a commit already bears is that commit delivered again, and does nothing. Rows
+    without change_id can't be told apart and are left out.
+    """
+    if label and label in store.done.labels:
+        return
+    fresh = store.unseen(first_deliveries(changes.filter(F.col("change_id").isNotNull())), "change_id")
+    fresh = written_over(fresh, f"{store.path}/delivered")
+    store.apply(shelf_images(fresh), fresh.select("change_id"), label)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of every shelf: the change whose values hold for each key (an entry that no
     change gave a position since its last delete has none and gives no row)."""

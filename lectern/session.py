@@ -34,7 +34,8 @@ def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where a session names none (tests, local mode) is a temporary folder set.
+    Only where a local session names none (tests) is a temporary folder set; on a cluster, whose
+    executors share no such folder, that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("name a folder all executors share in spark.checkpoint.dir")
     local = "file://" + os.path.join(tempfile.gettempdir(), f"lectern-{os.getpid()}")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -65,6 +68,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_over(df: DataFrame, path: str) -> DataFrame:
+    """Cut lineage with the table in ``path``, written over; nothing may still read what stood there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Commits:
+    """The commits of a store in ``path``: numbered, each complete once its marker is there.
+
+    What a commit writes before its marker is overwritten when the commit is tried again, so a
+    store can be opened, resumed and retried by any session. A marker carries the caller's label
+    (such as the number of a micro-batch).
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self.path)) if self.fs.exists(self.path) else []
+        self.labels = [n.partition("-")[2] for n in names]
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def mark(self, label: str = "") -> None:
+        self.fs.create(self.path.suffix(f"/{len(self):06d}-{label}"), False).close()
+        self.labels.append(label)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it is proven to hold at most ``rows`` rows; else as it is, to be shuffled.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from lectern.operators.changefeed import DeleteVectorTable, shelf_images
+from lectern.operators.changefeed import DeleteVectorTable, deliver
 
 STATE = "at long, arrival long, text string, change_id long"
 OUT = "account_id long, book_id string, h string, at long, arrival long, text string, change_id long"
@@ -36,8 +36,12 @@ def edit_stream(changes: DataFrame) -> DataFrame:
 
 
 def feed_stream(changes: DataFrame, table: DeleteVectorTable, checkpoint: str):
-    """Commit every micro-batch of shelf changes to a delete-vector table; idempotent by order, so replays are harmless."""
-    return changes.writeStream.foreachBatch(lambda batch, _: table.apply(shelf_images(batch))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Commit every micro-batch of shelf changes to a delete-vector table.
+
+    A commit bears its micro-batch's number: one that is replayed after a restart does nothing, one
+    that failed half way is written again; a change delivered again counts at its first arrival.
+    """
+    return changes.writeStream.foreachBatch(lambda batch, n: deliver(table, batch, f"batch{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quiet_periods(changes: DataFrame, gap: str = "2.5 seconds", lateness: str = "1 minute") -> DataFrame:

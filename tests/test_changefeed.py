@@ -95,3 +95,39 @@ def test_stream_commits_like_a_batch(spark, tmp_path):
     feed_stream(stream, store, str(tmp_path / "cp")).awaitTermination()
     assert store.commits > 1
     assert found(shelf_state(store.read())) == replay(rows, at) == found(shelf_state(shelf_images(spark.createDataFrame(rows, FEED)).groupBy("kind", "account_id", "book_id", "h").agg(F.max(F.struct("at", "arrival", "change_id", "gone", "text", "position_h", "position_frac")).alias("i")).select("kind", "account_id", "book_id", "h", "i.*")))
+
+
+def test_a_store_is_opened_resumed_and_retried(spark, monkeypatch):
+    """Killed in the middle of a commit and started again by another instance: the same state."""
+    from lectern.operators import changefeed as cf
+
+    rows, at = feed(90, 8)
+    rows = sorted(rows)
+    path = work_path(spark, "kill")
+    open_ = lambda: DeleteVectorTable(spark, path, ["kind", "account_id", "book_id", "h"], ["at", "arrival"], buckets=4)
+    parts = [spark.createDataFrame(rows[k : k + 30], FEED) for k in range(0, len(rows), 30)]
+    for k, part in enumerate(parts):
+        store = open_()
+        assert store.commits == k
+        if k == 1:
+            with monkeypatch.context() as m:
+                m.setattr(cf.Commits, "mark", lambda self, label="": (_ for _ in ()).throw(RuntimeError("killed")))
+                try:
+                    cf.deliver(store, part, f"batch{k}")
+                except RuntimeError:
+                    pass
+            store = open_()
+            assert store.commits == 1
+        cf.deliver(store, part, f"batch{k}")
+        cf.deliver(open_(), part, f"batch{k}")
+    assert open_().commits == len(parts) and found(shelf_state(open_().read())) == replay(rows, at)
+
+
+def test_a_commit_reads_only_its_buckets(spark):
+    store = DeleteVectorTable(spark, work_path(spark, "b"), ["k"], ["at"], buckets=8)
+    store.apply(spark.range(200).select(F.col("id").alias("k"), F.lit(1).alias("at")))
+    one = spark.createDataFrame([(5, 2)], "k bigint, at int")
+    held = store._held(one, "index", ["k"], ["k", "at"], "file string, pos bigint")
+    assert held.select("bucket").distinct().count() == 1 and held.filter("k = 5").count() == 1
+    pruned = held._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in pruned and "commit" in pruned
