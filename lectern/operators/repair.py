@@ -164,13 +164,13 @@ def unfuse(lines: DataFrame) -> DataFrame:
     return rows.select("doc", "line_no", "line", ends.alias("breaks"))
 
 
-def split_on_indent(lines: DataFrame) -> DataFrame:
+def split_on_indent(lines: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Non-blank lines with ``starts``: whether a paragraph begins at this line, by the file's indents.
 
     An indented line begins one unless prose plainly runs through it; a short, closed flush
     line between a finished text and an indented line stands alone as a heading.
     """
-    marks = indent_marks(lines)
+    marks = indent_marks(lines) if marks is None else marks
     per = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("a"))
     ms = per.select("doc", measure(F.col("a.line")).alias("measure"))
     w = by_line()
