@@ -24,7 +24,7 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 KNOWN = BLOCKS | INLINE
 VOID = set("area base br col embed hr img input link meta source wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "nowiki"}
-HIDDEN = {"head", "script", "style", "title", "noscript", "template", "nav", "footer", "iframe", "object", "svg", "canvas", "ref", "references", "select", "button", "input", "textarea", "form"}
+HIDDEN = {"head", "script", "style", "title", "noscript", "template", "nav", "footer", "iframe", "object", "svg", "canvas", "ref", "references", "select", "input"}
 HIDDEN_CLASS = re.compile(r"(?:^|\s)(?:ws-noexport|noprint|navbox|navigation|toc|mw-editsection|pagenum|catlinks|metadata|sr-only|visually-hidden|breadcrumb|sidebar|menu)(?:\s|$)", re.I)
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = {f"h{n}" for n in range(1, 7)}
@@ -33,7 +33,7 @@ ATTR = r"""\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?""
 TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<!doctype[^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:{ATTR})*+)\s*/?\s*>", re.S | re.I)
 ATTRS = re.compile(r"""([A-Za-z_:@][\w:.@-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-ESCAPED = re.compile(r"&lt;(?:/?[A-Za-z][^\n]{0,2000}?|!--.{0,4000}?)&gt;", re.S)
+ESCAPED = re.compile(r"&lt;/?[A-Za-z](?:(?!&[lg]t;)[^\n])*&gt;|&lt;!--(?:(?!&lt;!--|--&gt;).)*--&gt;", re.S)
 
 
 def _tags(text: str):
@@ -135,7 +135,7 @@ def formula_of(node: Node) -> str | None:
 
 
 CODE_TAGS = {"code", "pre", "kbd", "samp", "tt", "syntaxhighlight"}
-TEXT_FORMULA = re.compile(r"\$\$(?=\S)[^$]+?(?<=\S)\$\$|\\\((?:(?!\\\)).)+?\\\)|\\\[(?:(?!\\\]).)+?\\\]|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,400}?[\\^_={}+][^$\n]{0,400}?(?<=[^\s\\])\$(?![\d\w$])|(?<![\\$\w])\$[A-Za-z]\$(?![\w$])", re.S)
+TEXT_FORMULA = re.compile(r"\$\$(?=\S)[^$]+?(?<=\S)\$\$|\\\((?:(?!\\\)).)+?\\\)|\\\[(?:(?!\\\]).)+?\\\]|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}+])[^$\n]+(?<=[^\s\\])\$(?![\d\w$])|(?<![\\$\w])\$[A-Za-z]\$(?![\w$])", re.S)
 
 
 def render(root: Node) -> tuple[str, set[str]]:
@@ -229,14 +229,41 @@ def render(root: Node) -> tuple[str, set[str]]:
             put("\n\n" + (rest + "\n" if rest else "") + _align(tables.pop()) + "\n\n")
         elif tag in ("td", "th") and tables:
             cell = " ".join(_tidy(sinks.pop()).split())
-            (tables[-1] or tables[-1].append([]) or tables[-1])[-1].append(cell)
+            (tables[-1] or tables[-1].append([]) or tables[-1])[-1].append((cell, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
         elif tag in BLOCKS and tag != "tr":
             put("\n\n")
     return _tidy(sinks[0]).replace("\x01", "").replace("\x02", "\n").replace("\x03", " "), kinds
 
 
-def _align(rows: list[list[str]]) -> str:
+def _span(node: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell takes (``most`` is the language's own limit); what is no number is 1."""
+    stated = node.attrs.get(name, "").strip()
+    return min(max(int(stated), 1), most) if stated.isascii() and stated.isdigit() else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Rows of cells at their columns: what a cell spans beside and below it stays blank."""
+    covered: dict[int, int] = {}
+    out = []
+    for row in rows:
+        line: list[str] = []
+        for text, columns, below in row:
+            while covered.get(len(line)):
+                covered[len(line)] -= 1
+                line.append("")
+            for k in range(columns):
+                covered[len(line)] = below - 1
+                line.append("" if k else text)
+        while covered.get(len(line)):
+            covered[len(line)] -= 1
+            line.append("")
+        out.append(line)
+    return out
+
+
+def _align(cells: list[list[tuple[str, int, int]]]) -> str:
     """Table rows with their cells padded to columns."""
+    rows = _grid(cells)
     widths: list[int] = []
     for r in rows:
         for k, c in enumerate(r):
@@ -256,7 +283,7 @@ WIKI_INLINE = re.compile(r"'{2,5}[^'\n]|\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|\[http
 WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*(?=[^=\s])(.+?)[ \t]*\1[ \t]*$", re.M)
 WIKI_TAG = re.compile(r"<(?:ref|math|syntaxhighlight|nowiki|noinclude|references|poem|pages)\b", re.I)
 TEX_COMMAND = re.compile(r"\\(?:(?:sub)*section|chapter|part|paragraph|emph|text[a-z]{2,}|footnote|item|begin|end|og|fg|cite|ref|label|url|href|verb|it|bf|sc|em|maketitle|documentclass|usepackage|author|title|date|par|newline|noindent|ldots|dots|quad|hspace|vspace|guillemotleft|oe|ae|aa|ss|&)(?![A-Za-z])|\\[A-Za-z]+\*?\{|\\[`'^\"~c]\{?[A-Za-z]|\{\\[a-z]+ |\\[,;!&%$#_]")
-MD_BLOCK = re.compile(r"^ {0,3}#{1,6} +\S|^ {0,3}(?:```|~~~)|^ {0,3}> ?\S|^.*\S.*\n {0,3}(?:={3,}|-{3,}) *$", re.M)
+MD_BLOCK = re.compile(r"^ {0,3}#{1,6} +\S|^ {0,3}(?:```|~~~)|^ {0,3}> ?\S|^.*\S.*\n {0,3}(?:={3,}|-{3,}) *$|^.*\|.*\n\|?(?: *:?-{2,}:? *\|)+(?: *:?-{2,}:? *)?$", re.M)
 MD_INLINE = re.compile(r"\*\*(?=\S)[^*\n]+(?<=\S)\*\*|(?<!\w)__(?=\S)[^_\n]+(?<=\S)__(?!\w)|~~(?=\S)[^~\n]+(?<=\S)~~|!?\[[^\]\n]+\]\([^)\s]+(?: \"[^\"\n]*\")?\)|\[\^[^\]\s]+\]|`[^`\n]+`|(?<![\w*])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])|^\[[^\]]+\]: \S+", re.M)
 LIST_LINE = re.compile(r"^ {0,7}(?:[*+-]|\d{1,4}[.)]) +(?![*+-] )\S", re.M)
 RULE = re.compile(r"^ {0,3}(?:\* ?){3,}$|^ {0,3}(?:- ?){3,}$|^ {0,3}(?:_ ?){3,}$")
@@ -545,7 +572,7 @@ def convert_udf(s: pd.Series) -> pd.DataFrame:
 
 
 #: Without one of these signs a text holds no markup; it never leaves the JVM.
-SIGNS = r"""[<&\\*_~`=\[{$#>']|(?m)^ *(?:[+-]|\d+[.)]) |\n\n {4}\S|(?m)^-{3,} *$"""
+SIGNS = r"""[<&\\*_~`=\[{$#>]|''|(?m)^\|?(?: *:?-{2,}:? *\|)|(?m)^ *(?:[+-]|\d+[.)]) |\n\n {4}\S|(?m)^-{3,} *$"""
 
 
 def convert_column(text: Column) -> Column:

@@ -51,7 +51,7 @@ def _decomposed(ch: str) -> str:
     if not parts:
         return ch
     if parts[0].startswith("<"):
-        if parts[0] not in SAME_LOOK and ord(ch) not in LIGATURES and not (unicodedata.category(ch) == "Zs" and parts[1] == "0020"):
+        if parts[0] not in SAME_LOOK and ord(ch) not in LIGATURES and ord(ch) not in NUMERALS and not (unicodedata.category(ch) == "Zs" and parts[1] == "0020"):
             return ch
         parts = parts[1:]
     return "".join(_decomposed(chr(int(p, 16))) for p in parts)
@@ -65,7 +65,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int,
     ccc = np.zeros(BASE_END, dtype=np.uint8)
     long: dict[int, list[int]] = {}
     pairs: dict[int, int] = {}
-    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x11200), *range(0x1D000, 0x1D800), *range(0xE0000, 0xE0200)]:
+    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x11200), *range(0x1D000, 0x1D800), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]:
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
@@ -96,6 +96,10 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int,
 
 #: Texts of these signs alone are their own form: printable ASCII, composed Latin letters, plain punctuation.
 STABLE = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u0130\u0132-\u024f\u2010-\u2027\u2030-\u205e]*\\Z")
+#: Numerals set as one sign look like the letters they are made of.
+NUMERALS = range(0x2160, 0x2180)
+#: Parts of Korean syllables; a run of them is written as the syllables they make.
+JAMO = re.compile("[\u1100-\u11ff]+")
 #: So many code points are exploded at once.
 CHUNK = 1_000_000
 
@@ -123,6 +127,7 @@ def _exploded(texts: list[str]) -> list[str]:
     """The forms of texts by code points."""
     if not texts:
         return []
+    texts = [JAMO.sub(lambda m: unicodedata.normalize("NFC", m.group()), t) if JAMO.search(t) else t for t in texts]
     first, length, more_at, more, ccc, pairs = tables()
     out: list[str] = list(texts)
     rows = range(len(texts))

@@ -50,3 +50,14 @@ def test_nulls_long_and_deep_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<b>x</b>"), (3, "<b>x</b>")], "id int, t string")
     rows = df.select("id", convert_column(F.col("t")).alias("c")).orderBy("id").collect()
     assert [r.c.text for r in rows] == [None, "", "x", "x"]
+
+
+def test_visible_text_of_forms_pipe_tables_and_spans():
+    assert convert("<form><p>Hello world in a form.</p><button>Send it</button></form>")[0].split() == "Hello world in a form. Send it".split()
+    text, language, _ = convert("| a | bb |\n|---|:--:|\n| ccc | d |")
+    assert language == "markdown" and text == "a   | bb\nccc | d"
+    html = "<table><tr><td rowspan=2>A</td><td>B</td><td colspan='2'>C</td></tr><tr><td>D</td><td>E</td><td>F</td></tr><tr><td rowspan=x>G</td></tr></table>"
+    assert convert(html)[0] == "A | B | C |\n  | D | E | F\nG"
+    assert convert("l'eau qu'il but, 3 | 4")[1] == "plain"
+    long = "&lt;p class=x" + "y" * 5000 + "&gt;Text&lt;/p&gt;"
+    assert convert(long)[0] == "Text" and convert("a $x" + " + y" * 300 + "$ b")[2] == ["formula"]

@@ -98,3 +98,9 @@ def test_pairs(spark):
     for r in looks:
         groups[bytes(r.look)].add(r.h)
     assert sorted(map(sorted, groups.values())) == [["h1", "h2", "h5"], ["h3"]]
+
+
+def test_syllables_ideographs_and_numerals_have_one_form():
+    for a, b in (("한국 글", unicodedata.normalize("NFD", "한국 글")), ("\uf900\U0002f800", unicodedata.normalize("NFC", "\uf900\U0002f800")), ("Ⅻ ⅰ", "XII i")):
+        assert a != b and p3.skeletons([a]) == p3.skeletons([b])
+    assert p3.skeletons(["한국"]) == ["한국"] and p3.skeletons(["한"]) != p3.skeletons(["핝"])
