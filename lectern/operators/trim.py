@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import content_hash, strip
+from lectern.functions.text import strip
 
 # Patterns of boilerplate, a named front section, headings of what follows a book.
 FRONT = [
@@ -103,7 +103,3 @@ def positional_window(at: Column, total: Column, other: Column, page: int, width
     """(first, end) of the rows of the other edition around a page, by position (half to even)."""
     middle = F.bround(at / total * other).cast("bigint")
     return F.greatest(middle - width, F.lit(0)), F.least(middle + page + width, other)
-
-
-def with_hash(paragraphs: DataFrame) -> DataFrame:
-    return paragraphs.withColumn("h", content_hash(F.col("text")))

@@ -350,6 +350,13 @@ def a11(spark, d):
     return r.select("report_id", mt.spread_fault(F.col("published_chars") % 900, F.col("placed_chars") % 900).alias("fault"))
 
 
+@reg.add("a11_spread_check", "select report_id, case when (published_chars < 200)::int + (placed_chars < 200)::int = 1 then 'one side' when published_chars < 200 and (published_chars = 0 or placed_chars = 0) then 'empty' when greatest(published_chars, placed_chars) > 3.0 * least(published_chars, placed_chars) then 'lopsided' end as fault from alignment_report where published_chars is not null and placed_chars is not null")
+def a11_check(spark, d):
+    """The reports' own columns as they are (a11_spread_faults derives short texts from them, so that every fault occurs)."""
+    r = table(spark, d, "alignment_report").filter("published_chars is not null and placed_chars is not null")
+    return r.select("report_id", mt.spread_fault(F.col("published_chars"), F.col("placed_chars")).alias("fault"))
+
+
 @reg.add("a12_shelf_figures", "select a.edition_id, greatest(1, round_even((a.paragraphs + b.paragraphs) / 390, 0)::int) as minutes, round_even((a.chars + b.chars) / 4, 0)::bigint as tokens from edition a join edition b on b.edition_id = a.edition_id + 1 where a.paragraphs is not null and b.paragraphs is not null and a.chars is not null and b.chars is not null")
 def a12(spark, d):
     e = table(spark, d, "edition").filter("paragraphs is not null and chars is not null")

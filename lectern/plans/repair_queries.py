@@ -84,7 +84,7 @@ def r2(spark, d):
     return book(spark, d).select("doc", h(text).alias("fixed"), n.cast("bigint").alias("n"))
 
 
-HEADED = "book as (select chapter_id as doc, regexp_replace(number_token, ' ', chr(10) || chr(10)) || chr(10) || paragraphs[1] as text from chapter where number_token is not null and len(paragraphs) > 0)"
+HEADED = "book as (select chapter_id as doc, regexp_replace(number_token, ' ', chr(10) || chr(10)) || chr(10) || array_to_string(paragraphs, chr(10)) as text from chapter where number_token is not null and len(paragraphs) > 0)"
 
 
 @reg.add(
@@ -96,7 +96,7 @@ HEADED = "book as (select chapter_id as doc, regexp_replace(number_token, ' ', c
 )
 def r3(spark, d):
     c = table(spark, d, "chapter").filter("number_token is not null and size(paragraphs) > 0")
-    texts = c.select(F.col("chapter_id").alias("doc"), F.concat(F.regexp_replace("number_token", " ", "\n\n"), F.lit("\n"), F.element_at("paragraphs", 1)).alias("text"))
+    texts = c.select(F.col("chapter_id").alias("doc"), F.concat(F.regexp_replace("number_token", " ", "\n\n"), F.lit("\n"), F.array_join("paragraphs", "\n")).alias("text"))
     return rp.rejoin_headings(lines_of(texts)).filter("joined").select("doc", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
@@ -242,10 +242,11 @@ def r16(spark, d):
 
 @reg.add("r18_fused_notes")
 def r18(spark, d):
-    """Paragraphs that carry a whole apparatus (one is put at every chapter's end)."""
+    """Paragraphs that carry a whole apparatus, over every paragraph (one is put at every chapter's end)."""
     c = table(spark, d, "chapter").filter("size(paragraphs) > 0")
-    fused = F.concat(F.element_at("paragraphs", -1), F.lit(" [1] - Un mot. [2] - Deux mots. [3] Trois."))
-    return c.select(F.col("chapter_id").alias("doc"), rp.fused_notes(fused).alias("r")).select("doc", h(F.col("r.prose")).alias("prose"), F.col("r.notes").alias("notes"))
+    c = c.select(F.col("chapter_id").alias("doc"), F.size("paragraphs").alias("n"), F.posexplode("paragraphs").alias("pos", "text")).filter("text is not null")
+    fused = F.when(F.col("pos") == F.col("n") - 1, F.concat("text", F.lit(" [1] - Un mot. [2] - Deux mots. [3] Trois."))).otherwise(F.col("text"))
+    return c.select("doc", "pos", rp.fused_notes(fused).alias("r")).select("doc", "pos", h(F.col("r.prose")).alias("prose"), F.col("r.notes").alias("notes"))
 
 
 RUN_TOGETHER = rf"""with {PARAS}, j as (select edition_id, pos, doc, regexp_replace(text, '(\p{{L}}{{4,}}) (\p{{L}}{{4,}})', '\1\2') as text from paras),
