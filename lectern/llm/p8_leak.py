@@ -83,21 +83,27 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def word_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the words' hash bits, a set bit as 1 and a clear one as -1."""
+def word_sums(hashes: np.ndarray, longest: int = 65_535) -> np.ndarray:
+    """Running sums of the words' hash bits, as many in a number as windows of up to ``longest`` words allow.
+
+    Numbers wrap around and carry into each other's places, but the difference of two rows is exact
+    where no bit is counted more than ``longest`` times between them.
+    """
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
-    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
-    return sums
+    place = np.min_scalar_type(longest)
+    bits = np.unpackbits(mixed.view(np.uint8)).astype(place, copy=False).view(np.uint64).reshape(-1, 8 * place.itemsize)
+    sums = np.zeros((bits.shape[1], len(hashes) + 1), dtype=np.uint64)
+    np.cumsum(bits.T, axis=1, out=sums[:, 1:])
+    return np.ascontiguousarray(sums.T)
 
 
 def fingerprints(sums: np.ndarray, size: int, step: int = 1) -> np.ndarray:
     """SimHash of the windows of ``size`` words, one every ``step`` words: one bit for a majority of the words."""
     if len(sums) <= size:
         return np.empty(0, np.uint64)
-    return np.packbits(sums[size::step] > sums[: len(sums) - size : step], axis=1).view(np.uint64).ravel()
+    ones = (sums[size::step] - sums[: len(sums) - size : step]).view(f"u{sums.shape[1] // 8}")
+    return np.packbits(ones > size // 2).view(np.uint64)
 
 
 class HammingIndex:
@@ -116,7 +122,7 @@ class HammingIndex:
             own = self._block(prints, low, high)
             near = self.MASKS[high - low]
             key = (own[:, None] ^ near[None]).ravel()
-            self.order.append((np.argsort(key.astype(np.uint16), kind="stable") // len(near)).astype(np.int32))
+            self.order.append((np.argsort(key.astype(np.uint16), kind="stable") // len(near)).astype(np.min_scalar_type(len(prints))))
             self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << (high - low)))]).astype(np.int32))
 
     @staticmethod
@@ -131,11 +137,16 @@ class HammingIndex:
             asked = prints[first : first + step]
             for b, (low, high) in enumerate(zip(self.EDGES, self.EDGES[1:])):
                 key = self._block(asked, low, high)
-                begin = self.start[b][key]
-                n = self.start[b][key + 1] - begin
-                stored = self.order[b][np.arange(n.sum(), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n - begin, n)]
-                near = np.flatnonzero(np.bitwise_count(np.repeat(asked, n) ^ self.prints[stored]) <= RADIUS)
-                ats.append(np.searchsorted(np.cumsum(n), near, "right") + first)
+                begin = self.start[b].take(key)
+                n = self.start[b].take(key + 1) - begin
+                until = np.cumsum(n)
+                where = np.repeat(begin - until + n, n)
+                where += np.arange(len(where))
+                stored = self.order[b].take(where)
+                differ = self.prints.take(stored)
+                differ ^= np.repeat(asked, n)
+                near = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
+                ats.append(np.searchsorted(until, near, "right") + first)
                 found.append(stored[near].astype(np.int64))
         both = np.unique(np.concatenate(ats) * np.int64(max(1, len(self.prints))) + np.concatenate(found))
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
@@ -205,10 +216,11 @@ class LeakIndex:
         flat = [w for words, _ in self.passages for w in words]
         self.hashes = word_hashes(flat)
         self.start = np.cumsum([0, *(len(words) for words, _ in self.passages)])
-        sums = word_sums(self.hashes)
         sizes = defaultdict(list)
         for k, (words, _) in enumerate(self.passages):
             sizes[window_of(len(words))].append(k)
+        self.longest = max(sizes, default=1)
+        sums = word_sums(self.hashes, self.longest)
         #: size, place of every stored window in the flat words, passage, index
         self.windows = []
         for size, owners in sorted(sizes.items()):
@@ -225,7 +237,7 @@ class LeakIndex:
         hashes = word_hashes(flat)
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         start = np.cumsum([0, *(len(d) for d in docs)])
-        sums, short = word_sums(hashes), hashes.astype(np.uint16)
+        sums, short = word_sums(hashes, self.longest), hashes.astype(np.uint16)
         cases = []
         for size, place, owner, index in self.windows:
             step = max(1, size // STARTS)
@@ -240,22 +252,45 @@ class LeakIndex:
             at, k = at[near], owner[stored[near]]
             cases.append(np.stack([doc[at], k, at - start[doc[at]] - (place_of[near] - self.start[k]), same[near]]))
         case = np.concatenate(cases, axis=1)
-        case = case[:, np.lexsort((case[1], case[0]))]
         key = case[0] * np.int64(len(self.passages)) + case[1]
-        bounds = np.flatnonzero(np.diff(key, prepend=-1, append=-1)) if len(key) else np.empty(0, np.int64)
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            d, k = int(case[0, low]), int(case[1, low])
-            shifts, slot = np.unique(case[2, low:high], return_inverse=True)
-            votes = np.bincount(slot, weights=case[3, low:high])
-            if any(self._holds(docs[d], k, s) for s in _apart(shifts[np.argsort(-votes, kind="stable")].tolist())):
+        order = np.lexsort((case[2], key))
+        key, shifts, same = key[order], case[2][order], case[3][order]
+        once = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(shifts, prepend=0) != 0))
+        if not len(once):
+            return
+        key, shifts, votes = key[once], shifts[once], np.add.reduceat(same, once)
+        order = np.lexsort((shifts, -votes, key))
+        shifts = shifts[order].tolist()
+        bounds = np.flatnonzero(np.diff(key, prepend=-1, append=-1)).tolist()
+        for low, high, case_of in zip(bounds, bounds[1:], key[bounds[:-1]].tolist()):
+            d, k = divmod(case_of, len(self.passages))
+            if any(self._holds(docs[d], k, s) for s in _apart(shifts[low:high])):
                 yield from ((d, i) for i in self.passages[k][1])
 
     def _holds(self, doc: list[str], k: int, shift: int) -> bool:
-        """``holds_piece``, told before by the number of shared word pairs where these are too few."""
+        """``holds_piece``, told before by the number of shared word pairs where these are too few or too far apart."""
         words, pairs = self.passages[k][0], self.pairs[k]
         margin = margin_of(len(words))
         part = doc[max(0, shift - margin) : shift + len(words) + margin]
-        return sum(map(pairs.__contains__, zip(part, part[1:]))) >= least_pairs(len(words)) and holds_piece(doc, words, shift)
+        shared = list(filter(pairs.__contains__, zip(part, part[1:])))
+        return len(shared) >= least_pairs(len(words)) and dense_enough(words, set(shared)) and holds_piece(doc, words, shift)
+
+
+def dense_enough(item: list[str], shared: set[tuple[str, str]]) -> bool:
+    """Whether a piece of ``item`` long enough has so many of ``shared`` among its word pairs as ``holds_piece`` asks for.
+
+    A piece shares each of its pairs once at most, so no piece that ``holds_piece`` accepts is refused.
+    """
+    least = max(2, math.ceil(SHARE * len(item))) - 1
+    surplus, lowest, before = [0.0], math.inf, 0.0
+    for pair in zip(item, item[1:]):
+        before += (pair in shared) - SIMILAR
+        surplus.append(before)
+        if len(surplus) > least:
+            lowest = min(lowest, surplus[-1 - least])
+            if before >= lowest - 1e-6:
+                return True
+    return False
 
 
 def _apart(shifts: list[int]) -> Iterator[int]:

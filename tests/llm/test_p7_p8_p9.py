@@ -174,3 +174,37 @@ def test_search_is_within_the_verifier_and_finds_pieces_of_small_items():
     shifts = lambda d, w: {i - j for i in range(len(d) - 1) for j in range(len(w) - 1) if d[i : i + 2] == w[j : j + 2]}
     assert all(any(p8.holds_piece(docs[d], items[i][1], s) for s in shifts(docs[d], items[i][1])) for d, i in got)
     assert list(index.search([])) == list(index.search([["un"], []])) == [] and list(p8.LeakIndex([]).search(docs)) == []
+
+
+def test_running_sums_are_packed_and_give_the_majority_of_every_window():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1
+    for size, step in ((2, 1), (9, 3), (28, 9), (255, 1), (256, 85), (300, 7)):
+        want = [np.packbits(bits[i : i + size].sum(axis=0) > 0).view(np.uint64)[0] for i in range(0, len(hashes) - size + 1, step)]
+        assert p8.fingerprints(p8.word_sums(hashes, size), size, step).tolist() == want
+        assert p8.fingerprints(p8.word_sums(hashes), size, step).tolist() == want
+    assert p8.word_sums(hashes, 28).nbytes <= 64 * (len(hashes) + 1)
+    assert p8.word_sums(hashes[:0], 28).shape[0] == 1 and len(p8.fingerprints(p8.word_sums(hashes[:5], 9), 9)) == 0
+
+
+def test_scattered_pairs_do_not_reach_the_verifier(monkeypatch):
+    rng = random.Random(14)
+    item = [f"w{k}" for k in range(100)]
+    doc = [x for k in range(0, 98, 5) for x in (*item[k : k + 2], *(f"z{rng.randrange(9999)}" for _ in range(3)))]
+    index, calls = p8.LeakIndex([(1, item)]), []
+    monkeypatch.setattr(p8, "holds_piece", lambda *a: calls.append(a) or False)
+    assert not index._holds(doc, 0, 0) and not calls
+    assert not index._holds(item, 0, 0) and len(calls) == 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=2, max_size=40), st.lists(st.sampled_from("abcdefghxyz"), max_size=60), st.integers(-10, 30))
+def test_the_density_refuses_nothing_the_verifier_accepts(item, other, shift):
+    for doc in (other, [*other[:10], *item[len(item) // 3 :], *other[10:]]):
+        margin = p8.margin_of(len(item))
+        part = doc[max(0, shift - margin) : shift + len(item) + margin]
+        if p8.holds_piece(doc, item, shift):
+            assert p8.dense_enough(item, set(zip(part, part[1:])) & set(zip(item, item[1:])))
+            assert p8.LeakIndex([(0, item)])._holds(doc, 0, shift)
