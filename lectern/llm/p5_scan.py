@@ -47,18 +47,24 @@ CONTEXT = 0.01
 
 PAGE_NUMBER = re.compile(r"^\W*(?:(?:pg|p|page)\b\.?\s*)?\d{1,4}\W*$", re.I)
 LETTERS = re.compile(r"[^\W\d_]")
-TOKEN = re.compile(r"(?:[^\W_]|\|)+(?:-(?:[^\W_]|\|)+)*")
+TOKEN = re.compile(r"(?:[^\W_]++|\|)++(?:-(?:[^\W_]++|\|)++)*+")
 ENDS_SPLIT = re.compile(r"((?:[^\W_]|\|)+(?:-(?:[^\W_]|\|)+)*)([-‐¬­])\s*$")
 STARTS_LOWER = re.compile(r"^[\s«“\"'(]*[a-zß-öø-ÿ|ſ]")
 CLOSED = re.compile(r"(?<!,)[.!?…»”\"][\s»”\"')\]]*$")
 ORDINAL = re.compile(r"^\d+(?:er|re|e|ème|st|nd|rd|th|s)?$")
 DASH_END = re.compile(r"[-‐¬­]$")
+SMALL = re.compile(r"[a-z]")
 
 
 def _title_key(title: str | None) -> str:
     return "".join(LETTERS.findall((title or "").replace("_", " "))).casefold()
 
 
+def ends_split(line: str) -> re.Match | None:
+    """``ENDS_SPLIT`` in a line, which is looked through only where it ends in a hyphen."""
+    return ENDS_SPLIT.search(line) if DASH_END.search(line.rstrip()[-1:]) else None
+
+
 def _near(a: str, b: str, most: int) -> bool:
     """Whether two keys differ in at most ``most`` places (same length or one more)."""
     if abs(len(a) - len(b)) > 1:
@@ -69,6 +75,8 @@ def _near(a: str, b: str, most: int) -> bool:
 def is_header(line: str, titles: list[str]) -> bool:
     """A line in capitals that bears a title of the book or chapter, misread here and there;
     behind a dash the author may follow, before or after it a page number."""
+    if SMALL.search(line):
+        return False
     body = re.sub(r"^\W*\d{0,4}\s+(?=\S)|\s+\d{1,4}\W*$", "", line.strip())
     if not LETTERS.search(body) or body != body.upper():
         return False
@@ -117,7 +125,7 @@ class Page:
         for lines in self.prose:
             carry: tuple[int, str, str] | None = None
             for p, line in lines:
-                at, split = 0, ENDS_SPLIT.search(line)
+                at, split = 0, ends_split(line)
                 if carry:
                     first = TOKEN.match(line.lstrip())
                     start, head, mark = carry
@@ -133,8 +141,8 @@ class Page:
                         yield start, head, None, None
                     carry = None
                 end = split.start(1) if split else len(line)
-                for m in TOKEN.finditer(line, at, end):
-                    yield p, m.group(), None, None
+                for token in TOKEN.findall(line, at, end):
+                    yield p, token, None, None
                 if split:
                     carry = (p, split.group(1), split.group(2))
             if carry:
@@ -529,11 +537,12 @@ def scan_pages(chapters: DataFrame, editions: DataFrame, books: DataFrame, scans
     """(chapter_id, paragraphs, titles, site): chapters of scanned books with what their furniture is told by."""
     sources = editions.filter("edition_id is not null").groupBy("edition_id").agg(F.min("source").alias("source"), F.min("page").alias("page"))
     info = books.filter("edition_id is not null").groupBy("edition_id").agg(F.min("title").alias("book"))
-    lines = chapter_lines(chapters.filter("chapter_id is not null")).join(sources.select("edition_id", "source"), "edition_id")
+    lines_of = lambda rows: chapter_lines(rows.filter("chapter_id is not null")).join(sources.select("edition_id", "source"), "edition_id")
+    lines = lines_of(chapters)
     keys = lines.filter("source is not null").select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
     hot = keys.groupBy("source", "k").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_CHAPTERS).select("source", "k")
     hot = small(written(hot, "sitekeys"))
-    mine = lines.join(scans, "edition_id", "left_semi").select("chapter_id", "source", F.explode("lines").alias("x")).select("chapter_id", "source", F.col("x.k").alias("k"), F.col("x.p").alias("p"), F.col("x.l").alias("l"))
+    mine = lines_of(chapters.join(scans, "edition_id", "left_semi")).select("chapter_id", "source", F.explode("lines").alias("x")).select("chapter_id", "source", F.col("x.k").alias("k"), F.col("x.p").alias("p"), F.col("x.l").alias("l"))
     site = mine.join(hot, ["source", "k"], "left_semi").groupBy("chapter_id").agg(F.collect_list(F.struct("p", "l")).alias("site"))
     site = written(site, "site")  # the pages are read twice by the repair; all chapters' lines only once
     pages = chapters.filter("chapter_id is not null and paragraphs is not null").join(scans, "edition_id", "left_semi")
@@ -656,7 +665,7 @@ def rebuild(page: Page, repairs: dict[tuple[int, str], str], own: set[str]) -> l
         carry: tuple[int, str, str] | None = None
         for p, line in lines:
             line = line.strip()
-            split = ENDS_SPLIT.search(line)
+            split = ends_split(line)
             if carry:
                 first = TOKEN.match(line)
                 start, head, mark = carry
@@ -668,7 +677,7 @@ def rebuild(page: Page, repairs: dict[tuple[int, str], str], own: set[str]) -> l
                     compound = f"{head}-{tail}"
                     text.append(" " + (mend(start, compound) if mark == "-" and compound.lower() in own else mend(start, head + tail)))
                     line = line[first.end() :]
-                    split = ENDS_SPLIT.search(line)
+                    split = ends_split(line)
                     text.append(TOKEN.sub(lambda m, p=p: mend(p, m.group()), line[: split.start(1)] if split else line))
                     carry = (p, split.group(1), split.group(2)) if split else None
                     continue

@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import re
 from types import SimpleNamespace
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.llm import p4_bitext as p4
@@ -207,3 +210,40 @@ def test_a_passage_moved_across_a_long_chapter_is_found(spark):
     g = spark.createDataFrame([(None, "x")], "term_fr string, term_en string")
     got = {(x.f, x.e) for x in p4.align_sentences(s, c, r, g).collect()}
     assert sum((k, 10_000 + k) in got for k in order[:60]) >= 57 and sum((k, 10_000 + k) in got for k in order[60:]) >= 1650
+
+
+ODD_LINES = st.text(alphabet="aéZ9 _|-‐¬\u00ad.,—\u00a0\t\u0345Ⓐⓐ", max_size=30)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ODD_LINES)
+def test_shortcuts_on_lines_change_no_result(line):
+    span = lambda m: m and m.regs
+    assert span(p5.ends_split(line)) == span(p5.ENDS_SPLIT.search(line))
+    plain = re.compile(r"(?:[^\W_]|\|)+(?:-(?:[^\W_]|\|)+)*")
+    assert p5.TOKEN.findall(line) == plain.findall(line) and span(p5.TOKEN.match(line)) == span(plain.match(line))
+    body = re.sub(r"^\W*\d{0,4}\s+(?=\S)|\s+\d{1,4}\W*$", "", line.strip())
+    assert not p5.SMALL.search(line) or body != body.upper()
+
+
+def test_only_lines_that_end_in_a_hyphen_are_looked_through(monkeypatch):
+    looked, pattern = [], p5.ENDS_SPLIT
+    monkeypatch.setattr(p5, "ENDS_SPLIT", SimpleNamespace(search=lambda line: looked.append(line) or pattern.search(line)))
+    page = p5.Page(["Une ligne qui conti-\nnue ici sans trait\net une autre."], [], set())
+    assert [w for _, w, _, _ in page.words()] == "Une ligne qui continue ici sans trait et une autre".split()
+    assert looked == ["Une ligne qui conti-"]
+
+
+def test_site_lines_are_placed_in_scanned_books_only(spark, monkeypatch):
+    seen, lines = [], p5.chapter_lines
+    monkeypatch.setattr(p5, "chapter_lines", lambda rows: seen.append(rows) or lines(rows))
+    long = "Texte propose par le site des livres anciens"
+    rows = [(k, k % 2, "t", [f"{long}\nun paragraphe assez long sur {FR[k]} {FR[k + 1]} {FR[k + 2]}"]) for k in range(2 * p5.MIN_CHAPTERS + 4)]
+    c = spark.createDataFrame(rows, "chapter_id bigint, edition_id bigint, title string, paragraphs array<string>")
+    e = spark.createDataFrame([(0, "site", "p"), (1, "site", "p")], "edition_id bigint, source string, page string")
+    b = spark.createDataFrame([(0, "Livre"), (1, "Livre")], "edition_id bigint, title string")
+    scans = spark.createDataFrame([(1, 10)], "edition_id bigint, chars bigint")
+    got = p5.scan_pages(c, e, b, scans).collect()
+    assert {r.chapter_id for r in got} == {k for k, edition, *_ in rows if edition == 1}
+    assert all([(x.p, x.l) for x in r.site] == [(0, 0)] for r in got)
+    assert [{r.edition_id for r in s.collect()} for s in seen] == [{0, 1}, {1}]
